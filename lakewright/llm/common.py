@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,19 @@ def shared(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder: computed once, lineage cut, survives lost executors."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df as a Parquet table in the shared folder and reads it back: computed once, lineage cut, survives lost executors."""
+    path = f"{shared(df.sparkSession)}/lakewright/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a narrow table that may be broadcast once they are counted.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most `rows` rows; else joins shuffle it.  df must be cheap to count (a written table)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakewright.llm.common import connected_components, materialise
+from lakewright.llm.common import connected_components, materialise, small
 from lakewright.llm.text import NON_SPACE, gram_hashes, mix, pieces
 
 SKETCH_WORDS = 16
-BLOCK = 1024
+#: Members of a group in one block, and pairs of one first document in one part.
+BLOCK, PART = 1024, 4096
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -137,30 +138,51 @@ def _differ(limit: tuple[int, int], n, m):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose whole sets link; pairs is a written table.
+
+    Every set is sent straight to its pairs: b's to (a, part), a's to each of its parts, which hold at most PART pairs.
+    """
     num, den = limit
+    parted = pairs.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / PART).cast("int"))
+    send = parted.select("a", "part", F.col("b").alias("doc_id")).union(parted.select("a", "part", F.col("a").alias("doc_id")).distinct())
+    send = small(materialise(send.groupBy("doc_id").agg(F.collect_list(F.struct("a", "part")).alias("to"))))
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _sets(batch.column(1), n)], pa.binary())], ["doc_id", "items"])
+            for lo in range(0, len(batch), 200):
+                part = batch.slice(lo, 200)
+                rows = []
+                for doc_id, items, to in zip(part.column(0).to_pylist(), _sets(part.column(1), n), part.column(2).to_pylist(), strict=True):
+                    data = items.tobytes()
+                    rows += [(t["a"], t["part"], t["a"] != doc_id, doc_id, data) for t in to]
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "part", "member", "doc_id", "items"])
 
     def check(batches):
+        at, first = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int(np.count_nonzero(y[at] == x)) if len(y) else 0
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items binary")
-    both = pairs.join(found.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").join(found.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+            a, part, member, ids, items = (batch.column(i) for i in range(5))
+            found_a, found_b = [], []
+            for k, (x, y, later, doc_id) in enumerate(zip(a.to_pylist(), part.to_pylist(), member.to_pylist(), ids.to_pylist(), strict=True)):
+                own = np.frombuffer(items[k].as_buffer(), np.uint64)
+                if not later:
+                    at, first = (x, y), own.copy()
+                elif at == (x, y) and _link(first, own, num, den):
+                    found_a.append(x)
+                    found_b.append(doc_id)
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    sent = docs.join(send, "doc_id").select("doc_id", "text", "to").mapInArrow(sets, "a long, part int, member boolean, doc_id long, items binary")
+    return sent.repartition("a", "part").sortWithinPartitions("a", "part", "member").mapInArrow(check, "a long, b long").distinct()
+
+
+def _link(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int(np.count_nonzero(y[at] == x)) if len(y) else 0
+    return den * both >= num * (len(x) + len(y) - both)
 
 
 def _across(members: DataFrame, limit: tuple[int, int]) -> DataFrame:
@@ -239,18 +261,19 @@ def link_components(docs: DataFrame, n: int = 5, limit: tuple[int, int] = (80, 1
     copies = same.select("doc_id", F.min("doc_id").over(first).alias("first")).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
 
     by_key = Window.partitionBy("key")
-    shared = materialise(_key_rows(known, n, limit).withColumn("low", F.min("doc_id").over(by_key)).withColumn("high", F.max("doc_id").over(by_key)).where("low < high").select("key", "doc_id", "low"))
-    facts = same.groupBy("doc_id").agg(F.min_by(F.struct("size", "sketch"), "identity").alias("f"), F.count("*").alias("rows"))
-    stars = shared.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialise(_verified(_near(stars, facts, limit), known, n, limit).union(copies))
+    facts = materialise(same.groupBy("doc_id").agg(F.min_by(F.struct("size", "sketch"), "identity").alias("f")))
+    # keys with the same members are one group, named by a hash of them
+    member = F.xxhash64("doc_id")
+    spread = _key_rows(known, n, limit).withColumn("low", F.min("doc_id").over(by_key)).withColumn("high", F.max("doc_id").over(by_key)).where("low < high")
+    marks = (F.sum(F.shiftright(member, 24)).over(by_key), F.sum(member.bitwiseAND(2**32 - 1)).over(by_key), F.count("*").over(by_key))
+    groups = materialise(spread.withColumn("key", F.xxhash64(*marks, "low", "high")).select("key", "doc_id", "low").distinct())
+    stars = groups.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = materialise(_verified(materialise(_near(stars, facts, limit)), known, n, limit).union(copies))
 
     parts = materialise(connected_components(links))
-    labelled = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = labelled.withColumn("c0", F.min("component").over(by_key)).withColumn("c1", F.max("component").over(by_key)).where("c0 < c1").select("key", "doc_id", "component")
-    mark = F.xxhash64("doc_id").cast("decimal(38,0)")
-    groups = apart.groupBy("key").agg(F.count("*").alias("members"), F.sum(mark).alias("mark"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    groups = groups.groupBy("members", "mark", "low", "high").agg(F.min("key").alias("key")).select("key", "members")
-    numbered = apart.join(groups, "key").withColumn("b", F.floor((F.row_number().over(by_key.orderBy("doc_id")) - 1) / BLOCK))
+    labelled = groups.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    apart = labelled.withColumn("c0", F.min("component").over(by_key)).withColumn("c1", F.max("component").over(by_key)).where("c0 < c1")
+    numbered = apart.withColumn("members", F.count("*").over(by_key)).withColumn("b", F.floor((F.row_number().over(by_key.orderBy("doc_id")) - 1) / BLOCK))
     blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("members") - 1) / BLOCK))
     split = numbered.select("key", "doc_id", "component", "b", F.explode(blocks).alias("o")).select("key", "doc_id", "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"))
     split = split.join(facts.select("doc_id", "f.size", "f.sketch"), "doc_id").select("key", "i", "j", "side", "doc_id", "component", "size", "sketch")

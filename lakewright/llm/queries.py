@@ -6,15 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakewright.llm.chat_format import formatted, read_back, with_trap
 from lakewright.llm.common import table
+from lakewright.llm.decontamination import contamination
+from lakewright.llm.mixing import mixed_sizes
 from lakewright.llm.ngram_jaccard import link_components
+from lakewright.llm.secret_scan import secrets
+from lakewright.llm.spot_signatures import edited_fingerprints
+from lakewright.llm.substring_dedup import substring_dedup_digests
+from lakewright.llm.token_binary import encoded
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(formatted(with_trap(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op3_decontamination": op3_decontamination,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_spot_signatures": op6_spot_signatures,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_token_binary": op8_token_binary,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}
