@@ -36,15 +36,21 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS[period]
 
 
-def _anchors(docs: DataFrame, window: int) -> DataFrame:
+def _emit(keys: list[str], hashes: np.ndarray, owner: np.ndarray, pos: np.ndarray, values: list[np.ndarray]):
+    for i in range(0, len(hashes), 100_000):
+        at = slice(i, i + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), *(pa.array(v[owner[at]]) for v in values), pa.array(pos[at].astype(np.int32))], ["h", *keys, "pos"])
+
+
+def _anchors(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
     period, cover = cover_for(window)
     length = window - period + 1
     member = np.isin(np.arange(period), cover)
 
     def run(batches):
         for batch in batches:
-            did, mark = (batch.column(i).to_numpy() for i in (0, 1))
-            for piece in pieces(batch.column(2)):
+            values = [batch.column(i).to_numpy() for i in range(len(keys))]
+            for piece in pieces(batch.column(len(keys))):
                 words, first = piece.word_hashes(NON_SPACE)
                 counts = np.diff(first)
                 doc = np.repeat(np.arange(len(piece)), counts)
@@ -52,26 +58,26 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 keep = np.flatnonzero(member[pos % period] & (pos + length <= counts[doc]) & (counts[doc] >= window))
                 if not len(keep):
                     continue
-                hashes = gram_hashes(words, length)[keep].view(np.int64)
-                owner = piece.first + doc[keep]
-                for i in range(0, len(keep), 100_000):
-                    at = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.array(did[owner[at]]), pa.array(mark[owner[at]]), pa.array(pos[keep[at]].astype(np.int32))], ["h", "did", "mark", "pos"])
+                yield from _emit(keys, gram_hashes(words, length)[keep], piece.first + doc[keep], pos[keep], values)
+
+    return docs.select(*keys, "text").mapInArrow(run, _schema(keys))
+
 
-    return docs.select("did", "mark", "text").mapInArrow(run, "h long, did long, mark long, pos int")
+def _schema(keys: list[str]) -> str:
+    return f"h long, {', '.join(f'{k} long' for k in keys)}, pos int"
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(h, did, mark, pos) of the windows that contain a repeated anchor; docs: did, mark, text, at (anchor positions)."""
+def _windows(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """(h, *keys, pos) of the windows that contain a repeated anchor; docs: keys, text, at (anchor positions)."""
     period, _ = cover_for(window)
 
     def run(batches):
         for batch in batches:
-            did, mark = (batch.column(i).to_numpy() for i in (0, 1))
-            lists = batch.column(3)
+            values = [batch.column(i).to_numpy() for i in range(len(keys))]
+            lists = batch.column(len(keys) + 1)
             lengths = lists.value_lengths().to_numpy()
             flat, begin = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lengths)]
-            for piece in pieces(batch.column(2)):
+            for piece in pieces(batch.column(len(keys))):
                 words, first = piece.word_hashes(NON_SPACE)
                 lo, hi = begin[piece.first], begin[piece.first + len(piece)]
                 doc = np.repeat(np.arange(len(piece)), lengths[piece.first : piece.first + len(piece)])
@@ -86,13 +92,9 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 keep = np.flatnonzero(starts & (pos + window <= np.diff(first)[owner]))
                 if not len(keep):
                     continue
-                hashes = gram_hashes(words, window)[keep].view(np.int64)
-                who = piece.first + owner[keep]
-                for i in range(0, len(keep), 100_000):
-                    s = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[s]), pa.array(did[who[s]]), pa.array(mark[who[s]]), pa.array(pos[keep[s]].astype(np.int32))], ["h", "did", "mark", "pos"])
+                yield from _emit(keys, gram_hashes(words, window)[keep], piece.first + owner[keep], pos[keep], values)
 
-    return docs.select("did", "mark", "text", "at").mapInArrow(run, "h long, did long, mark long, pos int")
+    return docs.select(*keys, "text", "at").mapInArrow(run, _schema(keys))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -102,13 +104,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _marked(docs: DataFrame, window: int) -> DataFrame:
     """The keyed docs, shuffled by document, with `gone`: the starts of their windows that start earlier too (or null)."""
     keyed = _keyed(docs)
-    by_doc = keyed.repartition("did", "mark")
-    repeated = _anchors(keyed, window).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    places = repeated.groupBy("did", "mark").agg(F.collect_set("pos").alias("at"))
-    windows = _windows(by_doc.join(places, ["did", "mark"]), window)
-    later = windows.withColumn("rank", F.rank().over(Window.partitionBy("h").orderBy("did", "mark", "pos"))).where("rank > 1")
-    gone = later.groupBy("did", "mark").agg(F.collect_set("pos").alias("gone"))
-    return by_doc.join(gone, ["did", "mark"], "left")
+    # doc_id alone names a document, unless some are repeated
+    several = keyed.groupBy("did").count().where("count > 1").limit(1).count()
+    keys = ["did", "mark"] if several else ["did"]
+    by_doc = keyed.select("doc_id", *keys, "text").repartition(*keys)
+    repeated = _anchors(keyed, keys, window).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    places = repeated.groupBy(*keys).agg(F.collect_set("pos").alias("at"))
+    windows = _windows(by_doc.join(places, keys), keys, window)
+    later = windows.withColumn("rank", F.rank().over(Window.partitionBy("h").orderBy(*keys, "pos"))).where("rank > 1")
+    gone = later.groupBy(*keys).agg(F.collect_set("pos").alias("gone"))
+    return by_doc.join(gone, keys, "left")
 
 
 def _kept(text: str | None, gone: list | None, window: int) -> tuple[int, int, bytes]:
