@@ -12,15 +12,21 @@ from lakewright.llm.decontamination import contamination
 from lakewright.llm.mixing import mixed_sizes
 from lakewright.llm.ngram_jaccard import link_components
 from lakewright.llm.secret_scan import secrets
+from lakewright.llm.site_templates import extracted
 from lakewright.llm.spot_signatures import edited_fingerprints
 from lakewright.llm.substring_dedup import substring_dedup_digests
 from lakewright.llm.token_binary import encoded
+from lakewright.llm.toxicity import toxicity
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,18 +53,24 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted(with_trap(table(spark, sf_dir, "conversations"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_spot_signatures": op6_spot_signatures,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_token_binary": op8_token_binary,
+    "op9_site_templates": op9_site_templates,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}
