@@ -1,13 +1,14 @@
 """Token ids in a binary file format: bit planes, zstandard, chunk index.
 
-Format.  A chunk holds up to CHUNK ids as little-endian unsigned 32-bit integers: they are
-written as 8 * width bit planes (plane b has bit b of every id, eight ids a byte), where
-width is the number of bytes that the chunk's largest id needs; every plane is one
-zstandard frame.  Payload: magic "LWTB", version, width, count, then for each plane its
-length and its frame.  A shard is one task's range of documents in doc_id order.  Payloads
-are rows of a Parquet dataset (shard, chunk, n_ids, payload), whose writer commits
-whole tasks and works on any store; the chunk index beside it (shard, chunk, first id within
-the shard, and doc_id with its length for every document) finds ids without decoding others.
+Format.  A block holds BLOCK ids (the last one of a chunk fewer) as little-endian unsigned
+32-bit integers: they are written as 8 * width bit planes (plane b has bit b of every id, eight
+ids a byte), where width is the number of bytes that the block's largest id needs; every plane is
+one zstandard frame.  Block: width, count, then for each plane its length and its frame.  A chunk is
+the magic "LWTB", a version, the number of blocks and the blocks; it holds whole documents, CHUNK ids
+or a little more.  A shard is one task's range of documents in doc_id order.  Chunks are rows of
+a Parquet dataset (shard, chunk, first id within the shard, ids, payload, and the doc_id and length of
+each document), whose writer commits whole tasks and works on any store; all columns but the payload are the
+chunk index: they find a document's ids without decoding other chunks.
 
 Encoding.  A byte-level BPE works inside the pieces of its split pattern, and a white-space
 character that follows a non-space one always begins a piece.  So a text's ids are those of
@@ -30,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakewright.llm.common import shared
+from lakewright.llm.common import materialise, shared, small
 from lakewright.llm.text import hash_ranges, pieces
 
-CHUNK = 1 << 16
+CHUNK, BLOCK = 1 << 16, 1 << 14
 MAGIC = b"LWTB\x01"
 #: Distinct chunks a worker keeps, from task to task; beyond it the table starts anew.
-CACHE = 2_500_000
+CACHE = 1_500_000
 
 
 class CachedEncoder:
@@ -181,109 +182,104 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def pack(ids: np.ndarray, level: int = 3) -> bytes:
     """One chunk's payload."""
     ids = np.ascontiguousarray(ids, "<u4")
-    width = max(1, (int(ids.max()).bit_length() + 7) // 8) if len(ids) else 1
-    bits = np.unpackbits(ids.view(np.uint8).reshape(-1, 4)[:, :width], axis=1, bitorder="little")
+    parts = [MAGIC, struct.pack("<I", -(-len(ids) // BLOCK))]
     squeeze = zstandard.ZstdCompressor(level=level)
-    planes = [squeeze.compress(np.packbits(bits[:, b], bitorder="little").tobytes()) for b in range(8 * width)]
-    return b"".join([MAGIC, struct.pack("<BI", width, len(ids)), *(struct.pack("<I", len(p)) + p for p in planes)])
+    for lo in range(0, len(ids), BLOCK):
+        block = ids[lo : lo + BLOCK]
+        width = max(1, (int(block.max()).bit_length() + 7) // 8)
+        bits = np.unpackbits(block.view(np.uint8).reshape(-1, 4)[:, :width], axis=1, bitorder="little")
+        planes = [squeeze.compress(np.packbits(bits[:, b], bitorder="little").tobytes()) for b in range(8 * width)]
+        parts += [struct.pack("<BI", width, len(block)), *(struct.pack("<I", len(p)) + p for p in planes)]
+    return b"".join(parts)
 
 
 def unpack(payload: bytes) -> np.ndarray:
     """The ids of one chunk."""
     if payload[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token chunk")
-    width, count = struct.unpack_from("<BI", payload, len(MAGIC))
-    at, expand = len(MAGIC) + 5, zstandard.ZstdDecompressor()
-    bits = np.zeros((count, 32), np.uint8)
-    for b in range(8 * width):
-        (size,) = struct.unpack_from("<I", payload, at)
-        plane = np.frombuffer(expand.decompress(payload[at + 4 : at + 4 + size]), np.uint8)
-        bits[:, b] = np.unpackbits(plane, count=count, bitorder="little")
-        at += 4 + size
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1)
+    (blocks,) = struct.unpack_from("<I", payload, len(MAGIC))
+    at, expand, out = len(MAGIC) + 4, zstandard.ZstdDecompressor(), [np.zeros(0, "<u4")]
+    for _ in range(blocks):
+        width, count = struct.unpack_from("<BI", payload, at)
+        at += 5
+        bits = np.zeros((count, 32), np.uint8)
+        for b in range(8 * width):
+            (size,) = struct.unpack_from("<I", payload, at)
+            plane = np.frombuffer(expand.decompress(payload[at + 4 : at + 4 + size]), np.uint8)
+            bits[:, b] = np.unpackbits(plane, count=count, bitorder="little")
+            at += 4 + size
+        out.append(np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1))
+    return np.concatenate(out)
 
 
-_ROW = "shard int, chunk int, first long, n_ids int, payload binary, doc_ids array<long>, doc_lengths array<long>"
+_ROW = "shard int, chunk int, first long, n_ids long, payload binary, doc_ids array<long>, doc_lengths array<long>"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, chunk: int = CHUNK) -> None:
     """Writes the ids of docs(doc_id, text) in ascending doc_id order (null first, ties by text) under path.
 
     Null texts are empty: they have the end id alone.  Rows that repeat a doc_id are written one after another.
-    A chunk's index row lists the documents that begin in it; an empty table writes no chunk.
+    An empty table writes no chunk.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
         shard, encoder = TaskContext.get().partitionId(), encoder_for(tokenizer, end_id)
-        rest, number, first = np.zeros(0, np.uint32), 0, 0
-        waiting: list[tuple[int, int | None, int]] = []  # first id within the shard, doc_id, ids
-
-        def row(ids: np.ndarray) -> pa.RecordBatch:
-            nonlocal waiting, number, first
-            mine = [w for w in waiting if w[0] < first + len(ids)]
-            waiting = waiting[len(mine) :]
-            out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([pack(ids)], pa.binary()), pa.array([[w[1] for w in mine]], pa.list_(pa.int64())), pa.array([[w[2] for w in mine]], pa.list_(pa.int64()))], ["shard", "chunk", "first", "n_ids", "payload", "doc_ids", "doc_lengths"])
-            number, first = number + 1, first + len(ids)
+        parts, names, lengths, waiting, number, first = [], [], [], 0, 0, 0
+
+        def row() -> pa.RecordBatch:
+            nonlocal parts, names, lengths, waiting, number, first
+            columns = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([waiting], pa.int64()), pa.array([pack(np.concatenate(parts))], pa.binary()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64()))]
+            out = pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "first", "n_ids", "payload", "doc_ids", "doc_lengths"])
+            parts, names, lengths, waiting, number, first = [], [], [], 0, number + 1, first + waiting
             return out
 
         for batch in batches:
-            names, at = batch.column(0).to_pylist(), 0
+            ids_of, at = batch.column(0).to_pylist(), 0
             for ids, counts in encoder.encode(batch.column(1)):
-                begin = first + len(rest) + np.r_[0, np.cumsum(counts)[:-1]]
-                waiting += zip(begin.tolist(), names[at : at + len(counts)], counts.tolist(), strict=True)
+                ends = np.cumsum(counts)
+                begin = done = 0
+                for k in range(len(counts)):
+                    if waiting + ends[k] - done >= chunk or k == len(counts) - 1:
+                        parts.append(ids[done : ends[k]])
+                        names += ids_of[at + begin : at + k + 1]
+                        lengths += counts[begin : k + 1].tolist()
+                        waiting += int(ends[k]) - done
+                        begin, done = k + 1, int(ends[k])
+                        if waiting >= chunk:
+                            yield row()
                 at += len(counts)
-                rest = np.concatenate([rest, ids])
-                while len(rest) >= chunk:
-                    yield row(rest[:chunk])
-                    rest = rest[chunk:]
-        if len(rest):
-            yield row(rest)
+        if names:
+            yield row()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(run, _ROW)
     rows.write.mode("overwrite").parquet(path)
 
 
-def chunk_index(rows: DataFrame) -> DataFrame:
-    """(shard, chunk, at): where each chunk's ids begin among all ids; one row per shard meets in one task, then it joins back."""
+def shard_starts(rows: DataFrame) -> DataFrame:
+    """(shard, before): the ids of all earlier shards; one row per shard meets in one task."""
     shards = rows.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
-    before = shards.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))
-    return rows.select("shard", "chunk", "first").join(before, "shard").select("shard", "chunk", (F.col("first") + F.col("before")).alias("at"))
+    return shards.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all before it), n_tokens, ids_crc32 (its ids as little-endian 32-bit)."""
     rows = spark.read.schema(_ROW).parquet(path)
-    placed = rows.join(chunk_index(rows), ["shard", "chunk"])
+    placed = rows.join(small(materialise(shard_starts(rows))), "shard")
 
     def run(batches):
-        # a shard's chunks come in order; a document may run on over chunks
-        state: list = []  # [doc_id, start, ids, ids left, crc]
-
         for batch in batches:
-            done: list[tuple] = []
             for row in batch.to_pylist():
-                ids, at = unpack(row["payload"]), 0
-                opened = iter(zip(row["doc_ids"], row["doc_lengths"], strict=True))
-                while at < len(ids):
-                    if not state:
-                        name, count = next(opened)
-                        state = [name, row["at"] + at, count, count, 0]
-                    take = min(state[3], len(ids) - at)
-                    state[4] = zlib.crc32(ids[at : at + take].tobytes(), state[4])
-                    state[3] -= take
-                    at += take
-                    if not state[3]:
-                        done.append((state[0], state[1], state[2], state[4]))
-                        state = []
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-        if state:
-            raise ValueError("a shard ends inside a document")
-
-    ordered = placed.repartition("shard").sortWithinPartitions("shard", "chunk")
-    return ordered.select("payload", "at", "doc_ids", "doc_lengths").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                data, at = unpack(row["payload"]).tobytes(), 0
+                done = []
+                for name, count in zip(row["doc_ids"], row["doc_lengths"], strict=True):
+                    done.append((name, row["at"] + at, count, zlib.crc32(memoryview(data)[4 * at : 4 * (at + count)])))
+                    at += count
+                yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return placed.select("payload", (F.col("first") + F.col("before")).alias("at"), "doc_ids", "doc_lengths").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encoded(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:

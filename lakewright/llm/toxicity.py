@@ -104,16 +104,16 @@ def _label(texts: list[list[str]], toxic: np.ndarray) -> dict[str, bool]:
         names = {n for w in forms for n in (f"={w}", *(w[:k] for k in range(4, 7) if len(w) > k))}
         seen[int(y)].update(names)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    share, names = n1 / (n1 + n0), len(seen[0].keys() | seen[1].keys())
+    share, names = n1 / (n1 + n0), sum(n + seen[0][name] >= 3 for name, n in seen[1].items())
 
     def strong(name: str) -> bool:
-        """Twenty times as frequent, and beyond chance among all names: a binomial tail bound below 1 / names."""
+        """Twenty times as frequent, and beyond chance among all names met three times: a binomial tail bound below 1 / names."""
         a, b = seen[1][name], seen[0][name]
         if a < 3 or a / n1 < 20 * b / n0:
             return False
         found = a / (a + b)
         tail = (a + b) * (found * math.log(found / share) + ((1 - found) * math.log((1 - found) / (1 - share)) if b else 0.0))
-        return tail > math.log(names) + 1
+        return tail > math.log(names + 1) + 1
 
     good = {n for n in seen[1] if strong(n)}
     found = {}
