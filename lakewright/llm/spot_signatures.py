@@ -33,13 +33,16 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """
     plain = F.trim(F.regexp_replace(F.lower(F.col(text)), F.lit(r"[^\p{L}\p{N}]+"), F.lit(" ")))
     word = "|".join(sorted(set(COMMON)))
-    marked = F.regexp_replace(F.concat(F.lit("\x02 "), F.col("_plain"), F.lit(" ")), F.lit(f" (?:(?:{word}) )*({word})(?= )"), F.lit("\x01$1\x02"))
+    marked = F.regexp_replace(F.concat(F.lit("\x02 "), F.col("_plain"), F.lit(" ")), F.lit(f" ({word})(?= )"), F.lit("\x01$1\x02"))
     halves = F.transform(F.split(marked, "\x01"), lambda x: F.struct(F.substring_index(x, "\x02", 1).alias("word"), F.trim(F.substring_index(x, "\x02", -1)).alias("after")))
+    # of a run of common words the last one has content words after it; a text of common words alone is one spot
+    alone = F.array(F.struct(F.lit("").alias("word"), F.col("_plain").alias("after")))
+    spots = F.when(F.size("_halves") == 0, alone).otherwise(F.col("_halves"))
     after = lambda i: F.coalesce(F.concat(F.get("_spots", i)["after"], F.lit(" ")), F.lit(""))
     chain = lambda i: F.substring_index(F.trim(F.concat(*(after(i + k) for k in range(CHAIN + 1)))), " ", CHAIN)
     each = F.transform(F.sequence(F.lit(0), F.size("_spots") - 1), lambda i: F.hash(F.get("_spots", i)["word"], chain(i)))
     found = F.when(F.col("_plain") == "", F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(each)))
-    return df.withColumn("_plain", plain).withColumn("_spots", halves).withColumn(name, found).drop("_plain", "_spots")
+    return df.withColumn("_plain", plain).withColumn("_halves", F.filter(halves, lambda x: x["after"] != "")).withColumn("_spots", spots).withColumn(name, found).drop("_plain", "_halves", "_spots")
 
 
 def likeness(a: Column, b: Column) -> Column:
