@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
-_oracles: dict[str, str] = {}
+_oracles: dict[str, object] = {}
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, oracle: object | None = None) -> Callable[[Query], Query]:
     """Registers a query function under a name, with its DuckDB SQL if it has one."""
 
     def add(f: Query) -> Query:
@@ -25,9 +25,19 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Imports the modules that register queries."""
+    import importlib
+
+    for module in ("sources.fixtures", "operators.silver", "operators.refine", "operators.completeness", "operators.telemetry", "operators.graphs", "operators.discovery", "operators.extraction"):
+        importlib.import_module(f"lakewright.{module}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    _load()
+    return {name: str(sql) for name, sql in _oracles.items()}
