@@ -84,26 +84,27 @@ def expand(text: str, engine: str) -> str:
     return text
 
 
-def needed(sql: str) -> tuple[list[str], list[str]]:
-    """(relations in dependency order, driver tables) that a SELECT reads."""
+def needed(sql: str, given: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
+    """(relations in dependency order, tables) that a SELECT reads; given relations count as tables."""
     order: list[str] = []
     tables: list[str] = []
 
     def visit(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_][a-z0-9_]*)\b", text, re.I)):
-            if word in _relations and word not in order:
+            if word in given or word in TABLES:
+                if word not in tables:
+                    tables.append(word)
+            elif word in _relations and word not in order:
                 visit(_relations[word])
                 order.append(word)
-            elif word in TABLES and word not in tables:
-                tables.append(word)
 
     visit(sql)
     return order, tables
 
 
-def render(sql: str, engine: str) -> str:
+def render(sql: str, engine: str, given: frozenset[str] = frozenset()) -> str:
     """The whole statement for one engine.  A query may itself begin with WITH RECURSIVE."""
-    order, _ = needed(sql)
+    order, _ = needed(sql, given)
     ctes = [f"{name} AS (\n{_relations[name]}\n)" for name in order]
     body = sql.strip()
     recursive = re.match(r"WITH\s+RECURSIVE\s", body, re.I)
@@ -116,15 +117,16 @@ def render(sql: str, engine: str) -> str:
     return expand(text, engine)
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The SELECT as a DataFrame over the tables of sf_dir."""
-    _, tables = needed(sql)
-    text = render(sql, "spark")
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+def run_sql(spark: SparkSession, sf_dir: str | None, sql: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The SELECT as a DataFrame over the tables of sf_dir; given frames stand for the tables or relations they name."""
+    given = given or {}
+    _, tables = needed(sql, frozenset(given))
+    text = render(sql, "spark", frozenset(given))
+    frames = {t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     if not frames:
         return spark.sql(text)
     text = text.replace("{", "{{").replace("}", "}}")
-    text = re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(TABLES)})\b", r"\1\2{\3}", text, flags=re.I)
+    text = re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(frames)})\b", r"\1\2{\3}", text, flags=re.I)
     return spark.sql(text, **frames)
 
 

@@ -25,19 +25,19 @@ def query(name: str, oracle: object | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _load() -> None:
+def load() -> None:
     """Imports the modules that register queries."""
     import importlib
 
-    for module in ("sources.fixtures", "operators.silver", "operators.refine", "operators.completeness", "operators.telemetry", "operators.graphs", "operators.discovery", "operators.extraction"):
+    for module in ("sources.fixtures", "operators.silver", "operators.refine", "operators.completeness", "operators.telemetry", "operators.graphs", "operators.discovery", "operators.extraction", "operators.sinks", "functions.documents", "streaming.feeds"):
         importlib.import_module(f"lakewright.{module}")
 
 
 def queries() -> dict[str, Query]:
-    _load()
+    load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    _load()
+    load()
     return {name: str(sql) for name, sql in _oracles.items()}
