@@ -30,6 +30,10 @@ from lakewright.llm.text import NON_SPACE, gram_hashes, pieces
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
 
+#: Stands for a null doc_id: the smallest one.
+NO_ID = -(2**63)
+
+
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     """The period whose anchors keep at least two fifths of the window."""
     period = max(p for p in COVERS if p == 1 or 5 * (window - p + 1) >= 2 * window)
@@ -39,7 +43,7 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
 def _emit(keys: list[str], hashes: np.ndarray, owner: np.ndarray, pos: np.ndarray, values: list[np.ndarray]):
     for i in range(0, len(hashes), 100_000):
         at = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), *(pa.array(v[owner[at]]) for v in values), pa.array(pos[at].astype(np.int32))], ["h", *keys, "pos"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(v[owner[at]]) for v in values), pa.array(hashes[at].view(np.int64)), pa.array(pos[at].astype(np.int32))], [*keys, "h", "pos"])
 
 
 def _anchors(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -64,11 +68,12 @@ def _anchors(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
 
 
 def _schema(keys: list[str]) -> str:
-    return f"h long, {', '.join(f'{k} long' for k in keys)}, pos int"
+    """Keys first: they repeat from row to row, so that shuffle compression needs one match a row."""
+    return f"{', '.join(f'{k} long' for k in keys)}, h long, pos int"
 
 
 def _windows(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """(h, *keys, pos) of the windows that contain a repeated anchor; docs: keys, text, at (anchor positions)."""
+    """(*keys, h, pos) of the windows that contain a repeated anchor; docs: keys, text, at (anchor positions)."""
     period, _ = cover_for(window)
 
     def run(batches):
@@ -98,7 +103,7 @@ def _windows(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
 
 
 def _marked(docs: DataFrame, window: int) -> DataFrame:
@@ -107,7 +112,7 @@ def _marked(docs: DataFrame, window: int) -> DataFrame:
     # doc_id alone names a document, unless some are repeated
     several = keyed.groupBy("did").count().where("count > 1").limit(1).count()
     keys = ["did", "mark"] if several else ["did"]
-    by_doc = keyed.select("doc_id", *keys, "text").repartition(*keys)
+    by_doc = keyed.select(*keys, "text").repartition(*keys)  # the same columns for both readers, so that they share the shuffle
     repeated = _anchors(keyed, keys, window).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     places = repeated.groupBy(*keys).agg(F.collect_set("pos").alias("at"))
     windows = _windows(by_doc.join(places, keys), keys, window)
@@ -156,4 +161,5 @@ def _finish(docs: DataFrame, window: int, digest: bool) -> DataFrame:
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "text"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _marked(docs, window).select("doc_id", "text", "gone").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, {names[3]} string")
+    own = F.when(F.col("did") != NO_ID, F.col("did")).cast(kind).alias("doc_id")
+    return _marked(docs, window).select(own, "text", "gone").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, {names[3]} string")
