@@ -36,7 +36,7 @@ from lakewright.llm.text import hash_ranges, pieces
 
 CHUNK, BLOCK = 1 << 16, 1 << 14
 MAGIC = b"LWTB\x01"
-#: Distinct chunks a worker keeps, from task to task; beyond it the table starts anew.
+#: Distinct chunks a worker keeps, from task to task: the first it meets, unless most of the chunks it meets later are others.
 CACHE = 1_500_000
 
 
@@ -73,13 +73,13 @@ class CachedEncoder:
         ids = [t.id for t in self.model.tokenize(body.encode().decode("latin-1").translate(self.alphabet))]
         return ids + mark if mark else ids
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, merge: bool = True) -> None:
         """Adds chunks (ascending hashes); small tables are merged into larger ones, so that there are few."""
         raw = data.tobytes()
         found = [self._chunk(raw[a:b].decode("utf-8", "replace")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         lengths = np.array([len(x) for x in found], np.int64)
         table = _Table(hashes, np.cumsum(lengths) - lengths, lengths, np.array([i for x in found for i in x], np.uint32))
-        while self.tables and len(self.tables[-1].hashes) < 4 * len(table.hashes):
+        while merge and self.tables and len(self.tables[-1].hashes) < 4 * len(table.hashes):
             table = _Table.merged(self.tables.pop(), table)
         self.tables.append(table)
 
@@ -89,11 +89,13 @@ class CachedEncoder:
             data, starts, ends = piece.data, *_chunks(piece.data, piece.offsets)
             unique, at, back = np.unique(hash_ranges(data, starts, ends), return_index=True, return_inverse=True)
             fresh = np.flatnonzero(self._find(unique)[0] < 0)
-            if sum(len(t.hashes) for t in self.tables) + len(fresh) > CACHE:
+            full = sum(len(t.hashes) for t in self.tables) + len(fresh) > CACHE
+            if full and 2 * len(fresh) > len(unique):  # the texts have changed
                 self.clear()
-                fresh = np.arange(len(unique))
+                fresh, full = np.arange(len(unique)), False
+            kept = list(self.tables)
             if len(fresh):
-                self._learn(data, starts[at[fresh]], ends[at[fresh]], unique[fresh])
+                self._learn(data, starts[at[fresh]], ends[at[fresh]], unique[fresh], merge=not full)
             where, entry = self._find(unique)
             size, begin, parts, base = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64), [], 0
             for k, table in enumerate(self.tables):
@@ -103,6 +105,8 @@ class CachedEncoder:
                 begin[mine] = base + np.cumsum(size[mine]) - size[mine]
                 parts.append(table.ids[got])
                 base += len(got)
+            if full:  # what was learnt serves this piece only
+                self.tables = kept
             ids = np.concatenate(parts)
             lengths = size[back]
             # every document's chunks, then one end id
