@@ -250,3 +250,26 @@ def supporting_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sentence of a document that holds a claim's words, here the eighth word."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split("text", r"(?<=[.!?])\s+|[\r\n]+").alias("sentences"), F.get(F.split("text", r"\s+"), F.lit(7)).alias("word"))
     return docs.where("word is not null").select("doc_id", F.get(F.filter("sentences", lambda s: F.contains(s, F.col("word"))), F.lit(0)).alias("quote"))
+
+
+@query("ckan_parse")
+def ckan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue payloads (here one per host, made of its pages) to one lead per resource with a tabular format."""
+    schema = "result struct<results: array<struct<name: string, title: string, resources: array<struct<url: string, format: string>>>>>"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)).alias("host"))
+    resource = F.struct(F.col("url"), F.when(F.col("page_id") % 2 == 0, "CSV").otherwise("HTML").alias("format"))
+    hosts = pages.groupBy("host").agg(F.sort_array(F.collect_list(resource)).alias("resources"))
+    payload = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("host").alias("name"), F.upper("host").alias("title"), "resources")).alias("results")).alias("result")))
+    parsed = hosts.select(F.from_json(payload, schema).alias("p")).select(F.explode("p.result.results").alias("r"))
+    return parsed.select("r.name", "r.title", F.explode("r.resources").alias("x")).where(F.lower("x.format").isin("csv", "json", "xlsx")).select("name", "title", "x.url", "x.format")
+
+
+@query("profile_table")
+def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per column of a table: fill rate, distinct values, largest repeat and the first row that has a value (its receipt)."""
+    table = spark.read.parquet(f"{sf_dir}/part.parquet")
+    long = table.select("p_partkey", *(F.col(c).cast("string").alias(c) for c in table.columns if c != "p_partkey")).unpivot(["p_partkey"], None, "column", "value")
+    values = long.where("value is not null and value <> ''").groupBy("column", "value").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    filled = values.groupBy("column").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct_values"), F.max("n").alias("max_repeat"), F.min("first").alias("first_row"))
+    rows = long.groupBy("column").agg(F.count("*").alias("rows"))
+    return filled.join(rows, "column").select("column", F.round(F.col("filled") / F.col("rows"), 4).alias("fill_rate"), "distinct_values", "max_repeat", "first_row")

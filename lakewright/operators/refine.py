@@ -16,7 +16,7 @@ relation(
 relation(
     "representatives",
     """SELECT entity_id AS re, property_id AS rp, value AS rv, value_id, source_id, source_type, step FROM (
-      SELECT s.*, row_number() OVER (PARTITION BY entity_id, property_id, value ORDER BY rank DESC, confidence DESC, source_id, value_id) AS place FROM silver s JOIN tiers ON tier = authority_tier
+      SELECT s.*, row_number() OVER (PARTITION BY entity_id, property_id, value ORDER BY rank DESC, confidence DESC, source_id, value_id, coalesce(step, -1)) AS place FROM silver s JOIN tiers ON tier = authority_tier
     ) r WHERE place = 1""",
 )
 relation(

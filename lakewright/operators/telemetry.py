@@ -109,3 +109,6 @@ sql_query("screen_chunks", "SELECT role, count(*) AS chunks, count_if(role = 'us
 sql_query("screen_verdict", "SELECT turn, count_if(length(text) % 10 >= 8 OR turn % 5 = 4) AS flagged, count_if(NOT (length(text) % 10 >= 8 OR turn % 5 = 4)) AS passed FROM conversations GROUP BY turn")
 sql_query("time_helpers", "SELECT event_id, second_of(ts) AS iso, idiv(us, CAST(60000000 AS BIGINT)) - idiv(lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id), CAST(60000000 AS BIGINT)) AS minutes FROM trace")
 sql_query("safe_ratios", "SELECT run_id, CASE WHEN count(mode) = 0 THEN 0.0 ELSE round(CAST(count_if(mode = 'D0') AS DOUBLE) / count(mode), 4) END AS share, CASE WHEN count_if(event = 'none') = 0 THEN NULL ELSE 1.0 END AS empty FROM trace GROUP BY run_id")
+sql_query("throughput_tumbling", "SELECT phase, idiv(us, CAST(3600000000 AS BIGINT)) * CAST(3600000000 AS BIGINT) AS start_us, count(*) AS steps FROM trace GROUP BY 1, 2")
+relation("slides", "SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3")
+sql_query("throughput_sliding", "SELECT idiv(us, CAST(900000000 AS BIGINT)) * CAST(900000000 AS BIGINT) - k * CAST(900000000 AS BIGINT) AS start_us, count(*) AS steps, count_if(event IS NOT NULL) AS events FROM trace CROSS JOIN slides GROUP BY 1")
