@@ -1 +1 @@
-""""""
+"""Parsers that run as Arrow-batched table functions."""

@@ -1 +1 @@
-""""""
+"""Operators as relations and verified queries over them."""

@@ -1 +1 @@
-""""""
+"""Query registry and the SQL compiler."""

@@ -1 +1 @@
-""""""
+"""Evidence relations over tables, and the content-addressed store."""
