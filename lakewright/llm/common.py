@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,28 +28,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a narrow table that may be broadcast once they are counted.
-BROADCAST_ROWS = 500_000
+#: Entries (rows of a few numbers) of a table that may be broadcast once they are counted.
+BROADCAST_ENTRIES = 500_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most `rows` rows; else joins shuffle it.  df must be cheap to count (a written table)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, entries: str = "1") -> DataFrame:
+    """df, to be broadcast if its entries (SQL, by row) sum up to BROADCAST_ENTRIES at most; else joins shuffle it.
+
+    df must be a written table: it is read once to be counted.
+    """
+    total = df.agg(F.sum(F.expr(entries).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_ENTRIES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_id(df: DataFrame, column: str = "doc_id") -> Column:
-    return F.col(column).cast("long")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star steps; every step is a shuffle by node, and
-    the edge list is checkpointed after each round.  Self-edges and repeats are allowed.
+    the edge list is written after each round.  Self-edges and repeats are allowed.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
@@ -57,8 +57,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = materialise(small.where("u <> v").distinct())
+        closer = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        new = materialise(closer.where("u <> v").distinct())
         same = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         if new.agg(F.count("*"), same).first() == edges.agg(F.count("*"), same).first():
             break

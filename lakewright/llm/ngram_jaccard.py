@@ -145,7 +145,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: tuple[int, int])
     num, den = limit
     parted = pairs.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / PART).cast("int"))
     send = parted.select("a", "part", F.col("b").alias("doc_id")).union(parted.select("a", "part", F.col("a").alias("doc_id")).distinct())
-    send = small(materialise(send.groupBy("doc_id").agg(F.collect_list(F.struct("a", "part")).alias("to"))))
+    send = small(materialise(send.groupBy("doc_id").agg(F.collect_list(F.struct("a", "part")).alias("to"))), "size(to)")
 
     def sets(batches):
         for batch in batches:

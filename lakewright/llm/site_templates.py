@@ -217,7 +217,7 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     Null pages are empty and give an empty text; pages without a host are the pages of one host, "".  Repeated rows
     are pages of their own.  Broken markup, unknown elements and very deep nesting give whatever text they hold.
     """
-    templates = small(materialise(site_templates(pages, min_pages, min_share)))
+    templates = small(materialise(site_templates(pages, min_pages, min_share)), "size(templates)")
     joined = pages.select("page_id", "url", "html", _host().alias("host")).join(templates, "host", "left")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
