@@ -151,7 +151,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 0) ->
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         return field
-    split = [_words(t) for t in texts]
+    pool: dict[str, str] = {}  # one object per distinct word
+    split = [[pool.setdefault(w, w) for w in _words(t)] for t in texts]
     keep = _distinct(split)
     split, toxic = [split[i] for i in keep], toxic[keep]
     if not toxic.any() or toxic.all():
