@@ -132,11 +132,6 @@ def _key_rows(docs: DataFrame, n: int, limit: tuple[int, int]) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long")
 
 
-def _differ(limit: tuple[int, int], n, m):
-    num, den = limit
-    return F.floor((den - num) * (n + m) / F.lit(den + num))
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose whole sets link; pairs is a written table.
 
@@ -204,7 +199,7 @@ def _across(members: DataFrame, limit: tuple[int, int]) -> DataFrame:
             may = parts[rows][:, None] != parts[right][None, :]
             may &= ids[rows][:, None] != ids[right][None, :]
             n, m = sizes[rows][:, None], sizes[right][None, :]
-            may &= (den * np.minimum(n, m) >= num * np.maximum(n, m)) & may
+            may &= den * np.minimum(n, m) >= num * np.maximum(n, m)
             x, y = np.nonzero(may)
             for c in range(0, len(x), 1 << 16):
                 i, j = rows[x[c : c + (1 << 16)]], right[y[c : c + (1 << 16)]]

@@ -31,15 +31,15 @@ CONTAINER = frozenset("aside center div dl fieldset figure footer form header na
 DROPPED = frozenset("""aside audio button canvas datalist dialog footer form head header iframe map menu meter nav noembed noframes noscript object optgroup option
 output progress script select style svg template textarea title video""".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-NAMES = frozenset("""ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead
+NAMES = frozenset("""ad ads adsbygoogle adv advert advertisement advertising adsense alert alerts aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead
 menu menubar modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related replies reply respond share sharing sidebar
-signup skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
+sidenav signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split())
 #: What an opening tag closes implicitly, up to the nearest of the barriers.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 class _Node:

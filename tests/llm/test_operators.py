@@ -227,6 +227,11 @@ def test_extraction(spark):
     assert site_templates.extracted(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("html", "text"), [("<p hidden>a", ""), ("<p data-x='a hidden b' data-id=nav>a", "a"), ("<div class='x sidebar-2'>a</div>b", "b"), ("<div role=banner>a</div><main>b</main>c", "b"), ("<article><header>a</header>b</article>c", "b")])
+def test_what_is_left_out(html, text):
+    assert site_templates.main_text(site_templates.parse(html)) == text
+
+
 def test_templates_are_deleted_on_their_host_only(spark):
     box = "<div class=q17><p>Subscribe to everything we write</p></div>"
     rows = [(i, f"http://a.x/{i}", f"<body>{box}<div><p>story {i}</p></div>") for i in range(12)] + [(100, "http://b.x/", f"<body>{box}<p>other</p>")]
