@@ -2,39 +2,30 @@
 
 from lakewright.plans.dialect import relation, sql_query
 
-# Candidates of one value form a group; groups rank by best tier, sources, best confidence, then canonical text.
-relation(
-    "value_groups",
-    """SELECT entity_id, entity_class, property_id, value, max(rank) AS best_tier, count(DISTINCT source_id) AS sources, max(confidence) AS confidence, count(*) AS n, max(corroboration) AS corroboration
-    FROM corroborated JOIN tiers ON tier = authority_tier GROUP BY entity_id, entity_class, property_id, value""",
-)
+# Candidates of one value form a group; groups rank by best tier, sources, best confidence, then canonical text; within
+# the first group its best observation speaks for it.
 relation(
     "ranked_values",
-    """SELECT g.*, row_number() OVER (PARTITION BY entity_id, property_id ORDER BY best_tier DESC, sources DESC, confidence DESC, value) AS place,
-    count(*) OVER (PARTITION BY entity_id, property_id) AS n_values FROM value_groups g""",
-)
-relation(
-    "representatives",
-    """SELECT entity_id AS re, property_id AS rp, value AS rv, value_id, source_id, source_type, step FROM (
-      SELECT s.*, row_number() OVER (PARTITION BY entity_id, property_id, value ORDER BY rank DESC, confidence DESC, source_id, value_id, coalesce(step, -1)) AS place FROM silver s JOIN tiers ON tier = authority_tier
-    ) r WHERE place = 1""",
+    """SELECT DISTINCT entity_id, entity_class, property_id, value, sources, best_tier, n_values,
+    CAST(dense_rank() OVER (PARTITION BY entity_id, property_id ORDER BY best_tier DESC, sources DESC, best_confidence DESC, value) AS BIGINT) AS place FROM corroborated""",
 )
 relation(
     "gold_fields",
-    """SELECT entity_id, entity_class, property_id, value, value_id, source_id, source_type, step, confidence, n_values, sources, CASE WHEN n_values = 1 THEN 'gold' ELSE 'conflict' END AS status
-    FROM ranked_values JOIN representatives ON entity_id = re AND property_id = rp AND value = rv WHERE place = 1""",
+    """SELECT entity_id, entity_class, property_id, value, value_id, source_id, source_type, step, best_confidence AS confidence, n_values, sources, CASE WHEN n_values = 1 THEN 'gold' ELSE 'conflict' END AS status FROM (
+      SELECT c.*, row_number() OVER (PARTITION BY entity_id, property_id ORDER BY best_tier DESC, sources DESC, best_confidence DESC, value, rank DESC, confidence DESC, source_id, value_id, coalesce(step, -1)) AS place FROM corroborated c
+    ) r WHERE place = 1""",
 )
 relation("declared", """SELECT 'customer' AS class, 'customer_key' AS prop, TRUE AS dod UNION ALL SELECT 'customer', 'name', TRUE UNION ALL SELECT 'customer', 'segment', TRUE UNION ALL SELECT 'customer', 'nation', TRUE
   UNION ALL SELECT 'customer', 'priority', TRUE UNION ALL SELECT 'customer', 'status', FALSE UNION ALL SELECT 'supplier', 'supplier_key', TRUE UNION ALL SELECT 'supplier', 'name', TRUE UNION ALL SELECT 'supplier', 'nation', FALSE
   UNION ALL SELECT 'order', 'order_key', TRUE UNION ALL SELECT 'order', 'order_date', TRUE UNION ALL SELECT 'order', 'customer_ref', FALSE UNION ALL SELECT 'order', 'ship_date', FALSE UNION ALL SELECT 'order', 'status', FALSE""")
-relation("entities", "SELECT DISTINCT entity_id, entity_class FROM silver")
+relation("entities", "SELECT DISTINCT entity_id, entity_class FROM obs_reasons WHERE reason IS NULL")
 # Dense over the declared properties: what was not observed is a missing field.
 relation(
     "fields",
     """SELECT e.entity_id, class AS entity_class, prop AS property_id, dod, value, value_id, source_id, source_type, step, coalesce(confidence, 0) AS confidence, coalesce(n_values, 0) AS n_values, coalesce(sources, 0) AS sources, coalesce(status, 'missing') AS status
     FROM entities e JOIN declared ON class = e.entity_class LEFT JOIN gold_fields g ON g.entity_id = e.entity_id AND g.property_id = prop""",
 )
-relation("present", "SELECT entity_id, entity_class, property_id, value, value_id, dod FROM fields WHERE status = 'gold' AND value_id IS NOT NULL")
+relation("present", "SELECT entity_id, entity_class, property_id, value, value_id, dod FROM gold_fields JOIN declared ON class = entity_class AND prop = property_id WHERE status = 'gold' AND value_id IS NOT NULL")
 relation("relation_specs", "SELECT 'same_nation' AS relation_id, 'customer' AS domain_class, 'nation' AS domain_prop, 'supplier' AS range_class, 'nation' AS range_prop UNION ALL SELECT 'placed_by', 'order', 'customer_ref', 'customer', 'customer_key'")
 relation(
     "gold_links",

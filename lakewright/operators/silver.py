@@ -16,11 +16,17 @@ relation(
     FROM obs o LEFT JOIN property_types ON typed = property_id""",
 )
 relation("silver", "SELECT DISTINCT run_id, entity_id, entity_class, property_id, value, source_id, source_type, authority_tier, publisher_id, confidence, step, value_id FROM obs_reasons WHERE reason IS NULL")
+# Distinct publishers, sources and values are numbered by windows, so that one pass over silver serves all that follows.
+relation(
+    "numbered",
+    """SELECT s.*, rank, CAST(dense_rank() OVER (PARTITION BY entity_id, property_id, value ORDER BY coalesce(nullif(publisher_id, ''), source_id)) AS BIGINT) AS publisher_no,
+    CAST(dense_rank() OVER (PARTITION BY entity_id, property_id, value ORDER BY source_id) AS BIGINT) AS source_no, CAST(dense_rank() OVER (PARTITION BY entity_id, property_id ORDER BY value) AS BIGINT) AS value_no
+    FROM silver s JOIN tiers ON tier = authority_tier""",
+)
 relation(
     "corroborated",
-    """SELECT s.*, greatest(CAST(1 AS BIGINT), publishers) AS corroboration FROM silver s JOIN (
-      SELECT entity_id AS e, property_id AS p, value AS v, count(DISTINCT coalesce(nullif(publisher_id, ''), source_id)) AS publishers FROM silver GROUP BY entity_id, property_id, value
-    ) c ON entity_id = e AND property_id = p AND value = v""",
+    """SELECT n.*, max(publisher_no) OVER (PARTITION BY entity_id, property_id, value) AS corroboration, max(rank) OVER (PARTITION BY entity_id, property_id, value) AS best_tier,
+    max(source_no) OVER (PARTITION BY entity_id, property_id, value) AS sources, max(confidence) OVER (PARTITION BY entity_id, property_id, value) AS best_confidence, max(value_no) OVER (PARTITION BY entity_id, property_id) AS n_values FROM numbered n""",
 )
 
 sql_query("obs_validate", "SELECT entity_class, coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM obs_reasons GROUP BY entity_class, coalesce(reason, 'accepted')")
