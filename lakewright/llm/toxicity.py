@@ -27,7 +27,7 @@ from lakewright.llm.common import materialise
 from lakewright.llm.text import ALNUM, LOWER, Piece, hash_ranges, mix, pieces
 
 #: The classifier is fitted on a bounded sample: at most SAMPLE labelled documents of either label, by hash order, and SAMPLE_BYTES of text.
-SAMPLE, SAMPLE_BYTES = 3000, 24 << 20
+SAMPLE, SAMPLE_BYTES = 1500, 12 << 20
 CHAIN = 64
 DIMENSIONS = 1 << 20
 THRESHOLD = 0.7
