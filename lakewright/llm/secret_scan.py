@@ -2,11 +2,12 @@
 
 Tokens of 20 characters or more of [A-Za-z0-9+/_=-] are tested against an inferred encoding
 (decimal, lower or upper hexadecimal, base32, base62/64): chi-squared uniformity over its
-alphabet, a runs test about the alphabet's middle, and lag-1 serial correlation, each as a z
-value.  A token's score is its largest deviation; random tokens have small scores.  Long words of one letter case
-serve as the null: for each length class the share of them with no larger score is a token's
-p value, and Benjamini-Hochberg within the length class keeps the false discovery rate at RATE.  All counts are over all
-tokens of the input, in a histogram of fixed size (length classes x score bins).
+alphabet, a runs test about the alphabet's middle, and lag-1 serial correlation.  The null is a token made of
+words, whose letters repeat more often than a uniform draw's: the number of equal pairs of characters
+(chi-squared is linear in it) is modelled as a gamma variable whose mean and spread follow from the token's length and alphabet,
+so that p, the chance of so few equal pairs, needs no other token.  Tokens that the runs or the serial test
+finds not random have p = 1.  Benjamini-Hochberg within the length class, apart for tokens of one letter case, keeps the
+false discovery rate at RATE.  A token is one test however often it occurs.  All counts are over all distinct tokens of the input, in a histogram of fixed size (length classes x p bins).
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 RATE = 0.05
-BINS, BIN_WIDTH = 64, 0.25
+#: Bins of -log2(p).
+BINS, BIN_WIDTH = 512, 0.125
+#: The null: the chance that two characters of a text token are equal (a multiple of 1 / k in small alphabets; words joined by
+#: signs, capitals or numbers in the large one), what its spread has beyond a Poisson variable's, and the largest z of a random token.
+REPEAT, REPEAT_MIXED, EXTRA, LIMIT_Z = 1.72, 0.048, 1.5, 3.0
 _CUT = "\x01"
 _STEP = 128
 
@@ -63,7 +68,10 @@ def _battery(token: str) -> dict[str, str]:
         "k": "length(alphabet)",
         "v": f"transform(split({token}, ''), c -> instr(alphabet, c))",
         "squares": f"aggregate(array_distinct(split({token}, '')), 0D, (a, c) -> a + pow(n - length(replace({token}, c, '')), 2))",
-        "chi": "(pow((squares * least(k, 62) / n - n) / (least(k, 62) - 1), 1 / 3D) - (1 - 2 / (9D * (k - 1)))) / sqrt(2 / (9D * (k - 1)))",
+        "equal": "(squares - n) / 2",
+        "expected": f"n * (n - 1D) / 2 * if(k > 32, {REPEAT_MIXED}D, {REPEAT}D / k)",
+        "shape": f"1 / (1 / expected + {EXTRA}D / n)",
+        "chi_z": "(1 - 1 / (9 * shape) - pow(equal / expected, 1 / 3D)) * 3 * sqrt(shape)",
         "ups": "aggregate(v, 0, (a, x) -> a + if(2 * x > k, 1, 0))",
         "runs": "1 + aggregate(sequence(2, n), 0, (a, i) -> a + if((2 * v[i - 1] > k) <> (2 * v[i - 2] > k), 1, 0))",
         "runs_mean": "1 + 2D * ups * (n - ups) / n",
@@ -71,7 +79,8 @@ def _battery(token: str) -> dict[str, str]:
         "mean": "aggregate(v, 0D, (a, x) -> a + x) / n",
         "spread": "aggregate(v, 0D, (a, x) -> a + pow(x - mean, 2))",
         "serial_z": "if(spread > 0, abs(aggregate(sequence(2, n), 0D, (a, i) -> a + (v[i - 1] - mean) * (v[i - 2] - mean))) / spread * sqrt(n), 8D)",
-        "score": "greatest(chi, runs_z, serial_z, 0D)",
+        # an upper bound of the normal tail beyond chi_z, in bits: exact to a few per cent
+        "bits": f"if(chi_z > 0 and runs_z <= {LIMIT_Z}D and serial_z <= {LIMIT_Z}D, (chi_z * chi_z / 2 + ln(chi_z + sqrt(chi_z * chi_z + 8 / pi())) + ln(pi() / 2) / 2) / ln(2D), 0D)",
     }
 
 
@@ -90,23 +99,23 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
     tokens = found.select("*", F.expr("transform(s3, t -> t.value)").alias("tokens"))
     # the battery runs once per distinct token; results join back by token
-    tested = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("times"))
+    tested = tokens.select(F.explode("tokens").alias("token")).distinct()
     for name, sql in _battery("token").items():
         tested = tested.withColumn(name, F.expr(sql))
     tested = materialise(
         tested.select(
-            "token", "times", F.least(F.floor(F.log2("n") * 2), F.lit(24)).cast("int").alias("size_class"),
-            F.least(F.floor(F.coalesce("score", F.lit(99.0)) / BIN_WIDTH), F.lit(BINS - 1)).cast("int").alias("bin"),
+            "token", F.least(F.floor(F.log2("n") * 2), F.lit(24)).cast("int").alias("size_class"),
+            F.least(F.floor(F.coalesce("bits", F.lit(0.0)) / BIN_WIDTH), F.lit(BINS - 1)).cast("int").alias("bin"),
             F.expr("token rlike '^[A-Z]?[a-z]+$' or token rlike '^[A-Z]+$'").alias("plain"),
         )
     )
-    counts = tested.groupBy("size_class", "bin").agg(F.sum(F.when(F.col("plain"), F.col("times")).otherwise(0)).alias("plain"), F.sum(F.when(F.col("plain"), 0).otherwise(F.col("times"))).alias("other"))
-    up = Window.partitionBy("size_class").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("size_class")
-    p = (F.sum("plain").over(up) + 1) / (F.sum("plain").over(whole) + 1)
-    passed = counts.withColumn("ok", p * F.sum("other").over(whole) <= rate * F.sum("other").over(up))
-    limits = passed.where("ok").groupBy("size_class").agg(F.max("bin").alias("limit"))  # 25 rows at most
-    random = tested.join(F.broadcast(limits), "size_class").where("bin <= limit and not plain").select("token")
+    counts = tested.groupBy("size_class", "plain", "bin").agg(F.count("*").alias("tokens"))
+    up = Window.partitionBy("size_class", "plain").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("size_class", "plain")
+    p = F.pow(F.lit(2.0), -F.col("bin") * BIN_WIDTH)
+    passed = counts.withColumn("ok", p * F.sum("tokens").over(whole) <= rate * F.sum("tokens").over(up))
+    limits = passed.where("ok").groupBy("size_class", "plain").agg(F.min("bin").alias("limit"))  # 50 rows at most
+    random = tested.join(F.broadcast(limits), ["size_class", "plain"]).where("bin >= limit").select("token")
 
     named = found.select("doc_id", "s0", "s1", "s2", "s3", F.monotonically_increasing_id().alias("row"))
     rows = materialise(named)

@@ -145,6 +145,25 @@ def test_randomness_battery_adds_random_tokens_only(spark):
     assert got[1000] == "random:2:42" and sum(bool(v) for v in got.values()) == 1
 
 
+def test_a_lone_random_key_needs_no_other_tokens(spark):
+    r = random.Random(11)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    prose = "There would be another question about which state-of-the-art-programs to build, see /docs/getting-started/installation for information "
+    for n in (32, 40, 44, 64):
+        keys = [key(n) for _ in range(20)]
+        texts = [(i, prose * 3 + f" {k} " + prose, "en", "a", 1) for i, k in enumerate(keys)]
+        assert [n for x in secret_scan.secrets(spark.createDataFrame(texts[:1], DOCS)).collect() for n in x.spans.split(",")] == [f"random:{len(prose) * 3 + 1}:{len(prose) * 3 + 1 + n}"]
+        got = [x.spans for x in secret_scan.secrets(spark.createDataFrame(texts, DOCS)).collect()]
+        assert sum(bool(x) for x in got) >= 18 and max(x.count("random") for x in got) == 1
+
+
+def test_long_prose_tokens_are_not_random(spark):
+    r = random.Random(12)
+    stock = "the time people would there their about which because government information development between important service number through nothing program question without another problem public system report".split()
+    texts = [(i, r.choice(("-", "_", "/")).join(r.choice(stock) for _ in range(r.randrange(4, 9))), "en", "a", 1) for i in range(400)]
+    assert sum(bool(x.spans) for x in secret_scan.secrets(spark.createDataFrame(texts, DOCS)).collect()) <= 2
+
+
 def test_substring_dedup(spark, docs, empty, repeated):
     assert rows(substring_dedup.substring_dedup_digests(docs), "n_words", "n_removed", "kept_sha256") == brute.kept([(i, t or "") for i, t in PAIRS])
     assert substring_dedup.substring_dedup(empty).count() == 0
