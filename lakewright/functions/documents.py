@@ -237,7 +237,8 @@ def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadth-first frontier over the hosts' links: (host, depth), one join per level, at most two levels."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)).alias("host"))
-    edges = pages.alias("a").join(pages.alias("b"), (F.col("b.page_id") == (F.col("a.page_id") * 7 + 1) % 50)).select(F.col("a.host").alias("x"), F.col("b.host").alias("y")).distinct()
+    links = pages.crossJoin(F.broadcast(pages.agg((F.max("page_id") + 1).alias("n")))).select("host", ((F.col("page_id") * 7 + 1) % F.col("n")).alias("to"))
+    edges = links.alias("a").join(pages.alias("b"), F.col("b.page_id") == F.col("a.to")).select(F.col("a.host").alias("x"), F.col("b.host").alias("y")).distinct()
     seen = pages.where("page_id = 0").select("host", F.lit(0).alias("depth"))
     for depth in (1, 2):
         reached = seen.join(edges, F.col("host") == F.col("x")).select(F.col("y").alias("host")).distinct()

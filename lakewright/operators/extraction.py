@@ -33,7 +33,7 @@ sql_query("dom_skeleton", "SELECT page_id, skeleton FROM page_rows")
 sql_query("page_text", "SELECT page_id, trim(replace_all(replace_all(replace_all(html, '<(script|style)>[^<]*</(script|style)>', ' '), '<[^>]*>', ' '), '[ \t\n\r]+', ' ')) AS text FROM pages")
 sql_query("challenge_flag", "SELECT page_id, matches(lower(html), 'captcha|verify you are human|access denied|please log ?in') AS challenged FROM pages")
 sql_query("text_rows_split", "SELECT doc_id, length_of(regex_all(text, '([^|]+)', 1)) AS cells FROM documents WHERE has(text, ' | ')")
-sql_query("json_flatten_cross", "SELECT o_orderkey, o_custkey AS cust_id, l_partkey AS line_part, l_quantity AS line_qty, l2 AS tag FROM orders JOIN lineitem ON l_orderkey = o_orderkey CROSS JOIN (SELECT 'a' AS l2 UNION ALL SELECT 'b') t WHERE o_orderkey % 20 = 0")
+sql_query("json_flatten_cross", "SELECT o_orderkey, o_custkey AS cust_id, l_partkey AS line_part, l_quantity AS line_qty, l2 AS tag FROM orders JOIN lineitem ON l_orderkey = o_orderkey CROSS JOIN (SELECT 'a' AS l2 UNION ALL SELECT 'b') t")
 sql_query("json_flatten_keep_arrays", "SELECT o_orderkey, '[' || names_of(CAST(l_partkey AS STRING)) || ']' AS parts, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 sql_query("json_pointer", "SELECT event_id, key_of(props) AS k, '/k' AS pointer FROM events")
 sql_query("parse_jsonl", "SELECT event_type, min(key_of(props)) AS lowest, max(key_of(props)) AS highest, count(DISTINCT key_of(props)) AS keys FROM events GROUP BY event_type")
