@@ -39,7 +39,7 @@ sql_query("json_pointer", "SELECT event_id, key_of(props) AS k, '/k' AS pointer
 sql_query("parse_jsonl", "SELECT event_type, min(key_of(props)) AS lowest, max(key_of(props)) AS highest, count(DISTINCT key_of(props)) AS keys FROM events GROUP BY event_type")
 sql_query("record_instances", "SELECT o_orderkey, CASE WHEN count(DISTINCT l_suppkey) > 4 THEN 'ambiguous_multiple_values:supplier' WHEN count(l_suppkey) = 0 THEN 'missing_or_ambiguous_identifier' ELSE 'ok' END AS gap, count(l_suppkey) AS instances FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 sql_query("record_granularity", "SELECT template, CASE WHEN count(DISTINCT skeleton) = 1 THEN 'uniform' ELSE 'mixed' END AS verdict, count(*) AS pages FROM page_types GROUP BY template")
-sql_query("normalize_identifier", "SELECT doc_id, lower(trim(replace_all(substr(text, 1, 80), '[ \t\n\r]+', ' '))) AS identifier FROM documents WHERE lang = 'en'")
+sql_query("normalize_identifier", "SELECT doc_id, lower(trim(replace_all(text, '[ \t\n\r]+', ' '))) AS identifier FROM documents")
 sql_query("normalize_ascii", "SELECT c_custkey, replace_all(lower(c_name), '[^a-z0-9]', '') AS lookup FROM customer")
 sql_query("label_key", "SELECT p_partkey, join_list(regex_all(lower(p_name), '[a-z0-9]+', 0), ' ') AS label FROM part")
 sql_query("token_sets", "SELECT token, count(*) AS n FROM (SELECT each_of(regex_all(lower(p_name || ' ' || p_type), '[a-z0-9]{4,}', 0)) AS token FROM part) t WHERE token NOT IN ('with', 'from', 'that') GROUP BY token")

@@ -49,5 +49,5 @@ sql_query(
 sql_query("bronze_put_dedup", "SELECT 'sha256:' || sha(text) AS bronze_key, count(*) AS puts, min(doc_id) AS first_doc FROM documents GROUP BY 1")
 sql_query("key_grammar", """SELECT key, matches(key, '^(sha256:[0-9a-f]{64}|(gold|runs)/[A-Za-z0-9_./-]+)$') AND NOT matches(key, '(^|/)[.][.]?(/|$)') AS valid FROM (
   SELECT bronze_key AS key FROM page_rows UNION ALL SELECT 'gold/run-0/../x' UNION ALL SELECT 'runs/a/b.json' UNION ALL SELECT 'sha256:abc' UNION ALL SELECT './x' UNION ALL SELECT 'gold/./x') k""")
-sql_query("cache_hit_split", "SELECT h AS request, count(*) AS n, min(doc_id) AS first_doc, CASE WHEN min(doc_id) % 2 = 0 THEN 'hit' ELSE 'fetch' END AS plan FROM (SELECT doc_id, sha(coalesce(source, '') || ':' || substr(text, 1, 200)) AS h FROM documents) d GROUP BY h")
+sql_query("cache_hit_split", "SELECT h AS request, count(*) AS n, min(doc_id) AS first_doc, CASE WHEN min(doc_id) % 2 = 0 THEN 'hit' ELSE 'fetch' END AS plan FROM (SELECT doc_id, sha(coalesce(source, '') || ':' || text) AS h FROM documents) d GROUP BY h")
 sql_query("canonical_json", """SELECT event_id, '{"id":' || CAST(event_id AS STRING) || ',"type":"' || event_type || '"}' AS canonical, sha('{"id":' || CAST(event_id AS STRING) || ',"type":"' || event_type || '"}') AS digest FROM events""")

@@ -32,3 +32,10 @@ def test_crawl_reaches_hosts_beyond_the_first_pages(spark, tmp_path):
     spark.createDataFrame([(i, f"http://h{0 if i == 0 else 1 if i in (1, 8) else i}.x/") for i in range(60)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.host: r.depth for r in QUERIES["crawl_bfs"](spark, str(tmp_path)).collect()}
     assert got == {"h0.x": 0, "h1.x": 1, "h57.x": 2}
+
+
+def test_texts_are_read_whole(spark, sf, tmp_path):
+    long = "Same opening " * 40
+    spark.createDataFrame([(1, long + "A", "en", "s"), (2, long + "B", "de", "s"), (3, long + "A", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.identifier[-3:] for r in QUERIES["normalize_identifier"](spark, str(tmp_path)).collect()} == {1: "g a", 2: "g b", 3: "g a"}
+    assert sorted(r.n for r in QUERIES["cache_hit_split"](spark, str(tmp_path)).collect()) == [1, 2]
