@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lakewright.llm.common import materialise
 from lakewright.llm.text import ALNUM, LOWER, Piece, hash_ranges, mix, pieces
 
-#: The classifier is fitted on a bounded sample: at most SAMPLE labelled documents of either label, by hash order, and SAMPLE_BYTES of text.
+#: The classifier is fitted on a bounded sample: at most SAMPLE labelled documents of either label, by hash order, and SAMPLE_BYTES of text, half for each.
 SAMPLE, SAMPLE_BYTES = 1500, 12 << 20
 CHAIN = 64
 DIMENSIONS = 1 << 20
@@ -292,18 +292,25 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
-    """At most `sample` labelled documents of either label that are not held out, in the order of a hash of doc_id."""
+    """At most `sample` labelled documents of either label that are not held out, in the order of a hash of doc_id.
+
+    A label that has texts is in the sample, or this fails: a field fitted without it would find nothing.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
     rows = materialise(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id"))  # 2 * sample ids at most
-    texts, marks, size = [], [], 0
-    for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
-        size += len(row.text)
-        if size > sample_bytes:
-            break
-        texts.append(row.text)
-        marks.append(row.toxic)
+    # either label has half of the characters; a text that does not fit is passed over, and those of more than a 64th come last, so no text costs others their place
+    texts, marks, room = [], [], {0: sample_bytes // 2, 1: sample_bytes // 2}
+    fit_in = rows.where(F.length("text") <= sample_bytes // 2)
+    for row in fit_in.orderBy(F.length("text") > sample_bytes // 64, F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
+        if len(row.text) <= room[row.toxic]:
+            room[row.toxic] -= len(row.text)
+            texts.append(row.text)
+            marks.append(row.toxic)
+    for toxic in {0, 1} - set(marks):
+        if rows.where(F.col("toxic") == toxic).head(1):
+            raise ValueError(f"every text labelled {toxic} is longer than the sample's {sample_bytes // 2} characters a label")
     return texts, marks
 
 

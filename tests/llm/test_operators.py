@@ -312,3 +312,14 @@ def test_toxicity(spark, empty):
     assert kept.columns == docs.columns and kept.where("doc_id = 1002 or doc_id is null").count() == 0 and {r.score for r in kept.collect()} == {"s"}
     assert toxicity.toxicity(empty, marks).count() == 0
     assert toxicity.toxicity(docs, marks.where("false")).where("predicted = 1").count() == 0
+
+
+def test_a_long_text_costs_others_no_place_in_the_sample(spark):
+    rows = [(i, f"text {i} " + ("toxic" if i % 2 else "fine"), "en", "a", 1) for i in range(60)]
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    whole = toxicity.labelled_sample(spark.createDataFrame(rows, DOCS), marks, 60, 20_000)
+    docs = spark.createDataFrame([(i, "long " * 5000 if i in (0, 2, 3, 5) else t, *rest) for i, t, *rest in rows], DOCS)
+    texts, labels = toxicity.labelled_sample(docs, marks, 60, 20_000)
+    assert sorted(texts) == sorted(t for t in whole[0] if t.split()[1] not in ("0", "2", "3", "5")) and len(texts) > 30 and set(labels) == {0, 1}
+    with pytest.raises(ValueError, match="labelled 1"):
+        toxicity.labelled_sample(spark.createDataFrame([(i, t * 3000 if i % 2 else t, *rest) for i, t, *rest in rows], DOCS), marks, 60, 20_000)
