@@ -4,7 +4,8 @@ Pages are parsed by a small tolerant tokenizer into a tree of containers and tex
 subtree of every container is hashed (tag names and texts); Spark counts hashes per host, and a
 subtree that recurs on many pages of its host is deleted there.  Beyond that, elements that by tag,
 role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or comments are left out, and where a page has an article (or main) element only that counts.
+styles or comments are left out, and where a page has article or main elements only these count.  A name counts as a menu
+(and so on) by its last word, 'site-nav' but not 'has-nav' or 'share-page', and never hides a page's main element or its only articles.
 """
 
 from __future__ import annotations
@@ -34,38 +35,52 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 NAMES = frozenset("""ad ads adsbygoogle adv advert advertisement advertising adsense alert alerts aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead
 menu menubar modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related replies reply respond share sharing sidebar
 sidenav signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split())
+#: Words of a name that only says whether an element has such a part.
+MODIFIERS = frozenset("has have no not with without".split())
 #: What an opening tag closes implicitly, up to the nearest of the barriers.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)", re.S)
+_MAIN = re.compile(r"""(?:^|[\s"'])role\s*=\s*(?:"main"|'main'|main(?=[\s/]|$))""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 class _Node:
     __slots__ = ("dropped", "inside", "parts", "tag")
 
-    def __init__(self, tag: str, dropped: bool, inside: bool):
+    def __init__(self, tag: str, dropped: int, inside: bool):
         self.tag, self.dropped, self.inside, self.parts = tag, dropped, inside, []
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _named(value: str) -> bool:
+    """Whether one of the names of a class or id attribute is that of a menu, header, footer and so on."""
+    for name in value.split():
+        words = re.findall("[a-z]+", name)
+        if words and words[-1] in NAMES and MODIFIERS.isdisjoint(words):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str) -> int:
+    """1 if an element is left out by its tag, role or hidden mark, 2 if only by its class or id, or else 0."""
     if tag in DROPPED:
-        return True
+        return 1
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
-        if name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return 1
+        if name in ("class", "id") and _named(value):
+            found = 2
+    return found
 
 
 def parse(text: str) -> _Node:
     """The tree of a page; broken markup never fails: what is not closed ends with its parent or the page."""
-    root = _Node("", False, False)
+    root = _Node("", 0, False)
     stack = [root]
     at = 0
     for m in _TOKEN.finditer(text):
@@ -93,7 +108,7 @@ def parse(text: str) -> _Node:
             _close(stack, {"p"}, {"button", "td", "th", "caption", "object"})
         if tag in CLOSES:
             _close(stack, CLOSES[tag], BARRIERS[tag])
-        node = _Node(tag, _unwanted(tag, m[3]), tag in ("article", "main") or 'role="main"' in m[3])
+        node = _Node(tag, _unwanted(tag, m[3]), tag in ("article", "main") or _MAIN.search(m[3]) is not None)
         stack[-1].parts.append(node)
         if tag in RAW:
             skip = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(text, at)
@@ -138,9 +153,13 @@ def main_text(root: _Node, templates: frozenset[int] = frozenset()) -> str:
     """The blocks of the page's main text, one a line."""
     hashes = subtree_hashes(root) if templates else {}
     gone = {k for k, h in hashes.items() if h in templates}
-    chosen = _articles(root, gone)
+    chosen, hidden = _articles(root, gone)
+    return _text(chosen or [root], gone) or _text(hidden, gone)
+
+
+def _text(tops: list[_Node], gone: set[int]) -> str:
     blocks: list[str] = []
-    for top in chosen or [root]:
+    for top in tops:
         pending: list[str] = []
         todo: list = [top]
         while todo:
@@ -149,7 +168,7 @@ def main_text(root: _Node, templates: frozenset[int] = frozenset()) -> str:
                 _flush(pending, blocks)
             elif isinstance(part, str):
                 pending.append(part)
-            elif not part.dropped and id(part) not in gone:
+            elif (not part.dropped or part is top) and id(part) not in gone:
                 block = part.tag in BLOCK
                 if block:
                     _flush(pending, blocks)
@@ -165,22 +184,21 @@ def _flush(pending: list[str], blocks: list[str]) -> None:
     pending.clear()
 
 
-def _articles(root: _Node, gone: set[int]) -> list[_Node]:
-    """The outermost article elements, or else the main elements; none inside dropped ones."""
-    found: dict[bool, list[_Node]] = {True: [], False: []}
+def _articles(root: _Node, gone: set[int]) -> tuple[list[_Node], list[_Node]]:
+    """The outermost article and main elements in their order, and apart the articles within elements that their class or id leaves out."""
+    chosen: list[_Node] = []
+    hidden: list[_Node] = []
     todo = [(root, False)]
     while todo:
-        node, within = todo.pop()
-        if node.dropped or id(node) in gone:
+        node, named = todo.pop()
+        if node.dropped == 1 or id(node) in gone:
+            continue
+        if node.inside:
+            (hidden if named and node.tag == "article" else chosen).append(node)
             continue
-        if node.inside and node.tag == "article":
-            if not within:
-                found[True].append(node)
-            within = True
-        elif node.inside:
-            found[False].append(node)
-        todo += [(p, within) for p in reversed(node.parts) if isinstance(p, _Node)]
-    return found[True] or found[False][:1]
+        named = named or node.dropped == 2
+        todo += [(p, named) for p in reversed(node.parts) if isinstance(p, _Node)]
+    return chosen, hidden
 
 
 def _host() -> Column:

@@ -323,3 +323,15 @@ def test_a_long_text_costs_others_no_place_in_the_sample(spark):
     assert sorted(texts) == sorted(t for t in whole[0] if t.split()[1] not in ("0", "2", "3", "5")) and len(texts) > 30 and set(labels) == {0, 1}
     with pytest.raises(ValueError, match="labelled 1"):
         toxicity.labelled_sample(spark.createDataFrame([(i, t * 3000 if i % 2 else t, *rest) for i, t, *rest in rows], DOCS), marks, 60, 20_000)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<main>a</main>x<div role='main'>b</div>", "a\nb"), ("<main>body<article>teaser</article></main>", "body\nteaser"), ("<article>a</article><main>b</main>", "a\nb"),
+        *((f"<div class='{name}'><article>a</article></div>", "a") for name in ("content has-sidebar", "no-sidebar", "with-widget", "share-page", "banner")),
+        ("<div class=widget><main>a</main></div>b", "a"), ("<div class=related><article>t</article></div>b", "b"), ("<div class=site-nav>a</div>b", "b"),
+    ],
+)
+def test_main_text_is_whole(html, text):
+    assert site_templates.main_text(site_templates.parse(html)) == text
