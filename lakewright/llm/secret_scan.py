@@ -1,13 +1,18 @@
 """Secret scans: fixed patterns, and a randomness test battery for other tokens.  DataFrame operations only.
 
 Tokens of 20 characters or more of [A-Za-z0-9+/_=-] are tested against an inferred encoding
-(decimal, lower or upper hexadecimal, base32, base62/64): chi-squared uniformity over its
-alphabet, a runs test about the alphabet's middle, and lag-1 serial correlation.  The null is a token made of
-words, whose letters repeat more often than a uniform draw's: the number of equal pairs of characters
-(chi-squared is linear in it) is modelled as a gamma variable whose mean and spread follow from the token's length and alphabet,
-so that p, the chance of so few equal pairs, needs no other token.  Tokens that the runs or the serial test
-finds not random have p = 1.  Benjamini-Hochberg within the length class, apart for tokens of one letter case, keeps the
-false discovery rate at RATE.  A token is one test however often it occurs.  All counts are over all distinct tokens of the input, in a histogram of fixed size (length classes x p bins).
+(decimal, lower or upper hexadecimal, base32, one letter case, base62/64).  Three statistics tell a random token from one made of words,
+each standardised under a fixed model of word tokens at the token's own length and encoding, so that no other token of the input is needed:
+
+* uniformity: equal pairs of characters (chi-squared is linear in their number), which words have more of; a gamma variable;
+* runs: changes between capitals, small letters and digits, signs left out, which words have fewer of;
+* serial dependence: changes between vowels and consonants from one letter to the next, which words have more of.
+
+Rates of words differ from token to token: both rates have a spread of their own beside the binomial one.  The combined z is the sum of the
+statistics that the encoding has, over the root of their number and WIDEN; p is its upper normal tail.  Tokens that a runs test about the
+alphabet's middle or the lag-1 serial correlation of the character codes finds too regular to be random (sequences, repeats) have p = 1.
+Benjamini-Hochberg within the length class, apart for tokens of one letter case, keeps the false discovery rate at RATE.  A token is one
+test however often it occurs.  All counts are over all distinct tokens of the input, in a histogram of fixed size (length classes x p bins).
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakewright.llm.common import materialise
+from lakewright.llm.common import materialise, small
 
 #: The base patterns in their order, with the least length of the whole match (of group 2 for assign).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,9 +32,12 @@ KINDS = ("assign", "access", "hex", "random")
 RATE = 0.05
 #: Bins of -log2(p).
 BINS, BIN_WIDTH = 512, 0.125
-#: The null: the chance that two characters of a text token are equal (a multiple of 1 / k in small alphabets; words joined by
-#: signs, capitals or numbers in the large one), what its spread has beyond a Poisson variable's, and the largest z of a random token.
-REPEAT, REPEAT_MIXED, EXTRA, LIMIT_Z = 1.72, 0.048, 1.5, 3.0
+#: The model of word tokens.  The chance that two characters are equal (a multiple of 1 / k in small alphabets; in the large one a number), and its spread beyond a Poisson
+#: variable's; the rates of changes of kind and between vowels and consonants, with the variances of these rates between tokens; the widening of the combined z.
+REPEAT, REPEAT_MIXED, EXTRA = 1.72, 0.048, 1.5
+KINDS_RATE, KINDS_SPREAD, VOWELS_RATE, VOWELS_SPREAD, WIDEN = 0.18, 0.01, 0.70, 0.015, 1.1
+#: The largest z of a random token in the tests of regularity; the bounds of one statistic; pairs of letters that the vowels need.
+LIMIT_Z, CLIP_Z, LETTERS = 3.0, 4.0, 4
 _CUT = "\x01"
 _STEP = 128
 
@@ -72,6 +80,15 @@ def _battery(token: str) -> dict[str, str]:
         "expected": f"n * (n - 1D) / 2 * if(k > 32, {REPEAT_MIXED}D, {REPEAT}D / k)",
         "shape": f"1 / (1 / expected + {EXTRA}D / n)",
         "chi_z": "(1 - 1 / (9 * shape) - pow(equal / expected, 1 / 3D)) * 3 * sqrt(shape)",
+        "signless": f"regexp_replace({token}, '[+/_=-]', '')",
+        "pairs": "length(signless) - 1",
+        "kinds": "regexp_count(signless, '[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])')",
+        "kinds_z": f"if(pairs > 0 and signless rlike '[0-9]' and signless rlike '[A-Za-z]' or k > 32, (kinds / greatest(pairs, 1) - {KINDS_RATE}D) / sqrt({KINDS_RATE * (1 - KINDS_RATE)}D / greatest(pairs, 1) + {KINDS_SPREAD}D), null)",
+        "letters": f"regexp_count({token}, '(?i)[a-z](?=[a-z])')",
+        "vowels": f"regexp_count({token}, '(?i)[aeiouy](?=[b-df-hj-np-tv-xz])|[b-df-hj-np-tv-xz](?=[aeiouy])')",
+        "vowels_z": f"if(k in (10, 16), null, if(letters < {LETTERS}, 0D, ({VOWELS_RATE}D - vowels / greatest(letters, 1)) / sqrt({VOWELS_RATE * (1 - VOWELS_RATE)}D / greatest(letters, 1) + {VOWELS_SPREAD}D)))",
+        "z": f"""aggregate(filter(array(chi_z, kinds_z, vowels_z), x -> x is not null), 0D, (a, x) -> a + greatest(-{CLIP_Z}D, least({CLIP_Z}D, x)))
+            / sqrt(1D + int(kinds_z is not null) + int(vowels_z is not null)) / {WIDEN}D""",
         "ups": "aggregate(v, 0, (a, x) -> a + if(2 * x > k, 1, 0))",
         "runs": "1 + aggregate(sequence(2, n), 0, (a, i) -> a + if((2 * v[i - 1] > k) <> (2 * v[i - 2] > k), 1, 0))",
         "runs_mean": "1 + 2D * ups * (n - ups) / n",
@@ -79,8 +96,8 @@ def _battery(token: str) -> dict[str, str]:
         "mean": "aggregate(v, 0D, (a, x) -> a + x) / n",
         "spread": "aggregate(v, 0D, (a, x) -> a + pow(x - mean, 2))",
         "serial_z": "if(spread > 0, abs(aggregate(sequence(2, n), 0D, (a, i) -> a + (v[i - 1] - mean) * (v[i - 2] - mean))) / spread * sqrt(n), 8D)",
-        # an upper bound of the normal tail beyond chi_z, in bits: exact to a few per cent
-        "bits": f"if(chi_z > 0 and runs_z <= {LIMIT_Z}D and serial_z <= {LIMIT_Z}D, (chi_z * chi_z / 2 + ln(chi_z + sqrt(chi_z * chi_z + 8 / pi())) + ln(pi() / 2) / 2) / ln(2D), 0D)",
+        # an upper bound of the normal tail beyond z, in bits: exact to a few per cent
+        "bits": f"if(z > 0 and runs_z <= {LIMIT_Z}D and serial_z <= {LIMIT_Z}D, (z * z / 2 + ln(z + sqrt(z * z + 8 / pi())) + ln(pi() / 2) / 2) / ln(2D), 0D)",
     }
 
 
@@ -95,7 +112,7 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
     keep0 = "length(regexp_extract(x, '" + ASSIGN.replace("\\", "\\\\").replace("'", "\\'") + "', 2)) >= 6"
     blocks = cut.select("doc_id", *(F.expr(f"if(size(p{k}) < 2, null, {_places(f'p{k}', k, keep)})").alias(f"b{k}") for k, keep in enumerate((keep0, "true", "true", "true"))))
     none = "cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)"
-    found = materialise(blocks.select("doc_id", *(F.expr(f"if(b{k} is null, {none}, {_joined(f'b{k}')})").alias(f"s{k}") for k in range(4))))
+    found = materialise(blocks.select("doc_id", *(F.expr(f"if(b{k} is null, {none}, {_joined(f'b{k}')})").alias(f"s{k}") for k in range(4)), F.monotonically_increasing_id().alias("row")))
 
     tokens = found.select("*", F.expr("transform(s3, t -> t.value)").alias("tokens"))
     # the battery runs once per distinct token; results join back by token
@@ -115,13 +132,11 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
     p = F.pow(F.lit(2.0), -F.col("bin") * BIN_WIDTH)
     passed = counts.withColumn("ok", p * F.sum("tokens").over(whole) <= rate * F.sum("tokens").over(up))
     limits = passed.where("ok").groupBy("size_class", "plain").agg(F.min("bin").alias("limit"))  # 50 rows at most
-    random = tested.join(F.broadcast(limits), ["size_class", "plain"]).where("bin >= limit").select("token")
-
-    named = found.select("doc_id", "s0", "s1", "s2", "s3", F.monotonically_increasing_id().alias("row"))
-    rows = materialise(named)
-    hits = rows.select("row", F.explode("s3").alias("s")).select("row", "s", F.col("s.value").alias("token")).join(random, "token")
+    # distinct tokens: broadcast while they are few; beyond that a token in very many places is a skewed key, which adaptive joins split
+    random = small(materialise(tested.join(F.broadcast(limits), ["size_class", "plain"]).where("bin >= limit").select("token")))
+    hits = found.select("row", F.explode("s3").alias("s")).select("row", "s", F.col("s.value").alias("token")).join(random, "token")
     added = hits.groupBy("row").agg(F.collect_list("s").alias("added"))
-    joined = rows.join(added, "row", "left")
+    joined = found.join(added, "row", "left")
     base = F.concat("s0", "s1", "s2")
     return joined.select("doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, F.coalesce("added", F.expr(none)))).alias("spans"))
 
