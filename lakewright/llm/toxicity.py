@@ -1,13 +1,14 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Labels mark documents, so words are labelled first: in toxic documents of the sample, words whose
-form or beginning (4 to 6 letters) is found far more often in toxic documents than in others.  The
-field has two states; a word's emission is the sum of the weights of its form and beginnings, and
-neighbours are tied by transition weights.  Chains are runs of at most CHAIN words of a document.
-It is trained by stochastic gradient on forward-backward marginals.  A document's score is a logistic
+form or beginning (4 to 6 letters) is found more often in toxic documents than chance allows.  The
+field has two states; a word's emission is the sum of the weights of its form, its beginnings and of the words before and after it,
+and neighbours are tied by transition weights.  Chains are runs of at most CHAIN words of a document.
+It is trained by stochastic gradient on forward-backward marginals; half-way the words of toxic documents are labelled anew by
+the field's own marginals, so that a word may be toxic in one context and not in another.  A document's score is a logistic
 function of its marginals (their sum, its logarithm and the largest), fitted on the same sample.
 
-Scoring covers every word of every text.  Emissions depend on the word alone, so a worker
+Scoring covers every word of every text.  An emission is a sum of what each of three words adds, so a worker
 computes each distinct word once; forward and backward passes run over all chains of a piece at once.
 """
 
@@ -27,8 +28,14 @@ from lakewright.llm.common import materialise
 from lakewright.llm.text import ALNUM, LOWER, Piece, hash_ranges, mix, pieces
 
 #: The classifier is fitted on a bounded sample: at most SAMPLE labelled documents of either label, by hash order, and SAMPLE_BYTES of text, half for each.
-SAMPLE, SAMPLE_BYTES = 1500, 12 << 20
+SAMPLE, SAMPLE_BYTES = 3000, 24 << 20
 CHAIN = 64
+#: How much more frequent in toxic documents a toxic name is at least, and in how many of them it is met.
+RATIO, MET = 4, 3
+#: Texts that a word is in before it counts as a context: rarer ones would learn single texts by heart.
+COMMON = 20
+#: Chains in a step of the training, and the fewest steps of its halves.
+BATCH, STEPS = 256, 30
 DIMENSIONS = 1 << 20
 THRESHOLD = 0.7
 WORDS = 1_500_000  # distinct words a worker keeps
@@ -43,8 +50,14 @@ def _features(word: str) -> list[int]:
     return [zlib.crc32(n.encode("utf-8", "replace")) % DIMENSIONS for n in names]
 
 
+def _context(word: str) -> list[int]:
+    """The features that a word gives to the word after it and to the word before it."""
+    word = word.lower()
+    return [zlib.crc32(f"{side}{word}".encode("utf-8", "replace")) % DIMENSIONS for side in "<>"]
+
+
 def _words(text: str) -> list[str]:
-    """The words that scoring sees: runs of letters and digits of ASCII and of anything beyond it."""
+    """The words that scoring sees, A-Z apart: runs of letters and digits of ASCII and of anything beyond it."""
     return re.findall("[0-9A-Za-z\\x80-\\U0010ffff]+", text)
 
 
@@ -57,8 +70,10 @@ class Field:
         self.transitions = np.zeros((2, 2))
         self.document = np.array([-6.0, 0.0, 0.0, 0.0])
 
-    def emission(self, word: str) -> float:
-        return self.bias + float(sum(self.weights[i] for i in _features(word)))
+    def parts(self, word: str) -> tuple[float, float, float]:
+        """What a word adds to its own emission, to that of the word after it and to that of the word before it."""
+        after, before = _context(word)
+        return self.bias + float(sum(self.weights[i] for i in _features(word))), float(self.weights[after]), float(self.weights[before])
 
     def marginals(self, emissions: np.ndarray, lengths: np.ndarray, pairs: bool = False):
         """P(toxic) of every word; emissions: chains x CHAIN, of which lengths count.  With pairs also the expected transitions."""
@@ -96,36 +111,34 @@ class Field:
         return 1 / (1 + np.exp(-z))
 
 
-def _label(texts: list[list[str]], toxic: np.ndarray) -> dict[str, bool]:
-    """Distinct word -> whether it is taken for toxic where it stands in a toxic document."""
-    seen = [Counter(), Counter()]
-    for words, y in zip(texts, toxic, strict=True):
-        forms = {w.lower() for w in words}
-        names = {n for w in forms for n in (f"={w}", *(w[:k] for k in range(4, 7) if len(w) > k))}
-        seen[int(y)].update(names)
+def _names(words: list[str]) -> np.ndarray:
+    """Word number -> the numbers of its form and beginnings, or -1."""
+    numbers: dict[str, int] = {}
+    out = np.full((len(words), 4), -1, np.int64)
+    for i, w in enumerate(words):
+        own = (f"={w}", *(w[:k] for k in range(4, 7) if len(w) > k))
+        out[i, : len(own)] = [numbers.setdefault(n, len(numbers)) for n in own]
+    return out
+
+
+def _label(docs: list[np.ndarray], toxic: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Word number -> whether it is taken for toxic where it stands in a toxic document."""
+    seen = np.zeros((2, int(names.max()) + 1 if names.size else 0), np.int64)
+    for ids, y in zip(docs, toxic, strict=True):
+        own = np.unique(names[np.unique(ids)])
+        seen[int(y), own[own >= 0]] += 1
+    b, a = seen
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    share, names = n1 / (n1 + n0), sum(n + seen[0][name] >= 3 for name, n in seen[1].items())
-
-    def strong(name: str) -> bool:
-        """Twenty times as frequent, and beyond chance among all names met three times: a binomial tail bound below 1 / names."""
-        a, b = seen[1][name], seen[0][name]
-        if a < 3 or a / n1 < 20 * b / n0:
-            return False
-        found = a / (a + b)
-        tail = (a + b) * (found * math.log(found / share) + ((1 - found) * math.log((1 - found) / (1 - share)) if b else 0.0))
-        return tail > math.log(names + 1) + 1
-
-    good = {n for n in seen[1] if strong(n)}
-    found = {}
-    for words in texts:
-        for w in words:
-            x = w.lower()
-            if x not in found:
-                found[x] = f"={x}" in good or any(x[:k] in good for k in range(4, 7) if len(x) > k)
-    return found
-
-
-def _distinct(split: list[list[str]]) -> list[int]:
+    share, tried = n1 / (n1 + n0), int(np.count_nonzero((a > 0) & (a + b >= MET)))
+    # beyond chance among all names that are met: a binomial tail bound below 1 / tried
+    found = a / np.maximum(1, a + b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tail = (a + b) * (found * np.log(found / share) + np.where(b > 0, (1 - found) * np.log((1 - found) / (1 - share)), 0.0))
+    strong = (a >= MET) & (a / n1 >= RATIO * b / n0) & (np.nan_to_num(tail) > math.log(tried + 1) + 1)
+    return ((names >= 0) & strong[names]).any(axis=1) if len(strong) else np.zeros(len(names), bool)
+
+
+def _distinct(docs: list[np.ndarray]) -> list[int]:
     """Places of the texts that are no near copy of an earlier one: copies would count one author's words many times.
 
     Near: three of twelve minima of hashed word pairs are equal.
@@ -133,10 +146,10 @@ def _distinct(split: list[list[str]]) -> list[int]:
     seen: list[dict[int, list[int]]] = [{} for _ in range(12)]
     salts = np.arange(1, 13, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     keep = []
-    for d, words in enumerate(split):
-        pairs = {zlib.crc32(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(words, words[1:] or words, strict=False)}
-        hashes = np.fromiter(pairs, np.uint64, len(pairs)) if pairs else np.array([d + 2**33], np.uint64)
-        low = mix(hashes[None, :] + salts[:, None]).min(axis=1).tolist()
+    for d, ids in enumerate(docs):
+        left, right = (ids[:-1], ids[1:]) if len(ids) > 1 else (ids, ids)
+        pairs = mix(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) if len(ids) else np.array([d + 2**63], np.uint64)
+        low = [int(mix(pairs + salt).min()) for salt in salts]
         near = Counter(other for slot, x in zip(seen, low, strict=True) for other in slot.get(x, ()))
         if not near or max(near.values()) < 3:
             keep.append(d)
@@ -145,87 +158,110 @@ def _distinct(split: list[list[str]]) -> list[int]:
     return keep
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 0) -> Field:
-    """A model from whole labelled texts; without either label it scores every text near 0."""
-    field = Field()
-    toxic = np.array(labels, bool)
-    if not toxic.any() or toxic.all():
-        return field
-    pool: dict[str, str] = {}  # one object per distinct word
-    split = [[pool.setdefault(w, w) for w in _words(t)] for t in texts]
-    keep = _distinct(split)
-    split, toxic = [split[i] for i in keep], toxic[keep]
-    if not toxic.any() or toxic.all():
-        return field
-    marks = _label(split, toxic)
-    rows, truth, lengths, owner = [], [], [], []
-    known: dict[str, list[int]] = {}
-    for d, words in enumerate(split):
-        for i in range(0, len(words), CHAIN):
-            part = words[i : i + CHAIN]
-            for w in part:
-                if w not in known:
-                    known[w] = _features(w)
-            rows.append(part)
-            truth.append([toxic[d] and marks[w.lower()] for w in part])
-            lengths.append(len(part))
-            owner.append(d)
-    width = 4
-    ids = {w: i for i, w in enumerate(known)}
-    table = np.full((len(known) + 1, width), -1, np.int64)
-    for w, i in ids.items():
-        table[i, : len(known[w])] = known[w]
-    # every chain with a toxic word, others by chance, and in later rounds those others that look most toxic
-    random = np.random.default_rng(seed)
-    positive = np.array([i for i, y in enumerate(truth) if any(y)], np.int64)
-    negative = np.array([i for i, y in enumerate(truth) if not any(y)], np.int64)
-    flat_words, begin = np.array([ids[w] for r in rows for w in r], np.int64), np.r_[0, np.cumsum(lengths)[:-1]]
-    squares, bias_square, move_square = np.full(DIMENSIONS, 1e-6, np.float32), 1e-6, np.full((2, 2), 1e-6)
-    for _ in range(epochs):
-        look = np.maximum.reduceat((np.where(table >= 0, field.weights[table], 0).sum(axis=1))[flat_words], begin)[negative]
+class _Chains:
+    """The chains of the sample: words by number, flat, with those before and after; `none` stands for no word."""
+
+    def __init__(self, docs: list[np.ndarray], table: np.ndarray):
+        self.table, none = table, len(table) - 1
+        self.words = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+        sizes = np.array([len(d) for d in docs])
+        ends = np.cumsum(sizes)
+        self.doc = np.repeat(np.arange(len(docs)), sizes)
+        self.before, self.after = np.r_[none, self.words[:-1]], np.r_[self.words[1:], none]
+        self.before[(ends - sizes)[sizes > 0]] = none
+        self.after[ends[sizes > 0] - 1] = none
+        place = np.arange(len(self.words)) - (ends - sizes)[self.doc]
+        self.begin = np.flatnonzero(place % CHAIN == 0)
+        self.length = np.diff(np.r_[self.begin, len(self.words)])
+
+    def features(self, chains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features (chains x CHAIN x 6, -1 for none), which places count, and where these are in the flat arrays."""
+        inside = np.arange(CHAIN)[None, :] < self.length[chains][:, None]
+        at = np.where(inside, self.begin[chains][:, None] + np.arange(CHAIN)[None, :], 0)
+        out = np.concatenate([self.table[self.words[at], :4], self.table[self.before[at], 4:5], self.table[self.after[at], 5:6]], axis=2)
+        out[~inside] = -1
+        return out, inside, at
+
+    def marginals(self, field: Field) -> np.ndarray:
+        """P(toxic) of every word."""
+        out = np.zeros(len(self.words), np.float32)
+        for lo in range(0, len(self.begin), 4096):
+            part = np.arange(lo, min(lo + 4096, len(self.begin)))
+            feature, inside, at = self.features(part)
+            value = np.where(feature >= 0, field.weights[feature], 0).sum(axis=2) + field.bias
+            out[at[inside]] = field.marginals(value, self.length[part])[0][inside]
+        return out
+
+
+def _train(field: Field, chains: _Chains, truth: np.ndarray, epochs: int, random: np.random.Generator, squares: list) -> None:
+    # every chain with a toxic word, others by chance, and those others that look most toxic
+    holds = np.maximum.reduceat(truth, chains.begin)
+    positive, negative = np.flatnonzero(holds), np.flatnonzero(~holds)
+    # small samples go round more often: STEPS at least
+    for _ in range(max(epochs, -(-STEPS // (1 + len(chains.begin) // BATCH)))):
+        own = chains.table[:, :4]
+        look = np.maximum.reduceat(np.where(own >= 0, field.weights[own], 0).sum(axis=1).astype(np.float32)[chains.words], chains.begin)[negative]
         hard = negative[np.argsort(-look, kind="stable")[: max(2000, len(positive))]]
         order = random.permutation(np.unique(np.concatenate([positive, random.permutation(negative)[: max(2000, len(positive))], hard])))
-        for lo in range(0, len(order), 256):
-            batch = order[lo : lo + 256]
-            size = np.array([lengths[i] for i in batch])
-            word = np.full((len(batch), CHAIN), len(known), np.int64)
-            y = np.zeros((len(batch), CHAIN))
-            for k, i in enumerate(batch):
-                word[k, : size[k]] = [ids[w] for w in rows[i]]
-                y[k, : size[k]] = truth[i]
-            feature = table[word]
+        for lo in range(0, len(order), BATCH):
+            batch = order[lo : lo + BATCH]
+            feature, inside, at = chains.features(batch)
+            y = np.where(inside, truth[at], False).astype(float)
             value = np.where(feature >= 0, field.weights[feature], 0).sum(axis=2) + field.bias
-            p, pairs = field.marginals(value, size, True)
-            inside = np.arange(CHAIN)[None, :] < size[:, None]
+            p, pairs = field.marginals(value, chains.length[batch], True)
             error = np.where(inside, y - p, 0)
-            on = (feature >= 0) & inside[:, :, None]
+            on = feature >= 0
             flat = feature[on]
-            change = np.bincount(flat, np.broadcast_to(error[:, :, None], feature.shape)[on], DIMENSIONS).astype(np.float32)
-            touched = np.unique(flat)
-            step = change[touched] - 1e-3 * field.weights[touched]
-            squares[touched] += step**2
-            field.weights[touched] += 0.4 * step / np.sqrt(squares[touched])
+            touched, back = np.unique(flat, return_inverse=True)
+            change = np.bincount(back, np.broadcast_to(error[:, :, None], feature.shape)[on], len(touched)).astype(np.float32)
+            step = change - 1e-3 * field.weights[touched]
+            squares[0][touched] += step**2
+            field.weights[touched] += 0.4 * step / np.sqrt(squares[0][touched])
             b = float(error.sum())
-            bias_square += b * b
-            field.bias += 0.2 * b / math.sqrt(bias_square)
+            squares[1] += b * b
+            field.bias += 0.2 * b / math.sqrt(squares[1])
             first, second = y[:, :-1].astype(int), y[:, 1:].astype(int)
-            both = inside[:, 1:]
-            seen = np.array([[np.sum((first == a) & (second == c) & both) for c in (0, 1)] for a in (0, 1)])
+            seen = np.array([[np.sum((first == a) & (second == c) & inside[:, 1:]) for c in (0, 1)] for a in (0, 1)])
             step2 = seen - pairs
-            move_square += step2**2
-            field.transitions += 0.1 * step2 / np.sqrt(move_square)
-    total, largest = np.zeros(len(split)), np.zeros(len(split))
-    emission = np.append(np.where(table[:-1] >= 0, field.weights[table[:-1]], 0).sum(axis=1) + field.bias, 0)
-    for lo in range(0, len(rows), 4096):
-        part = range(lo, min(lo + 4096, len(rows)))
-        value = np.zeros((len(part), CHAIN))
-        for k, i in enumerate(part):
-            value[k, : lengths[i]] = [emission[ids[w]] for w in rows[i]]
-        size = np.array([lengths[i] for i in part])
-        p, _ = field.marginals(value, size)
-        p = np.where(np.arange(CHAIN)[None, :] < size[:, None], p, 0)
-        np.add.at(total, [owner[i] for i in part], p.sum(axis=1))
-        np.maximum.at(largest, [owner[i] for i in part], p.max(axis=1))
+            squares[2] += step2**2
+            field.transitions += 0.1 * step2 / np.sqrt(squares[2])
+
+
+def fit(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 0) -> Field:
+    """A model from whole labelled texts; without either label it scores every text near 0."""
+    field = Field()
+    toxic = np.array(labels, bool)
+    if not toxic.any() or toxic.all():
+        return field
+    numbers: dict[str, int] = {}
+    docs = [np.array([numbers.setdefault(w.lower(), len(numbers)) for w in _words(t)], np.int32) for t in texts]
+    keep = _distinct(docs)
+    docs, toxic = [docs[i] for i in keep], toxic[keep]
+    if not toxic.any() or toxic.all() or not numbers:
+        return field
+    words = list(numbers)
+    table = np.full((len(words) + 1, 6), -1, np.int32)
+    often = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(words)) >= COMMON
+    for i, w in enumerate(words):
+        own = _features(w)
+        table[i, : len(own)] = own
+        if often[i]:
+            table[i, 4:] = _context(w)
+    marks = _label(docs, toxic, _names(words))
+    chains = _Chains(docs, table)
+    truth = marks[chains.words] & toxic[chains.doc]
+    if not truth.any():
+        return field
+    random, squares = np.random.default_rng(seed), [np.full(DIMENSIONS, 1e-6, np.float32), 1e-6, np.full((2, 2), 1e-6)]
+    _train(field, chains, truth, epochs // 2, random, squares)
+    p = chains.marginals(field)
+    again = (p >= 0.5) & toxic[chains.doc]
+    found = np.bincount(chains.doc, again, len(docs)) > 0
+    truth = np.where(found[chains.doc], again, truth)
+    _train(field, chains, truth, epochs - epochs // 2, random, squares)
+    p = chains.marginals(field)
+    total, largest = np.bincount(chains.doc, p, len(docs)), np.zeros(len(docs))
+    np.maximum.at(largest, chains.doc, p)
     x = np.stack([np.ones(len(total)), np.log1p(total), largest, np.minimum(total, 3.0)]).T
     w = np.zeros(4)
     for _ in range(60):  # Newton steps of a ridge-penalised logistic regression
@@ -241,25 +277,29 @@ class Scorer:
 
     def __init__(self, field: Field):
         self.field = field
-        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros((0, 3), np.float32)
 
-    def _emissions(self, piece: Piece, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _emissions(self, piece: Piece, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
         unique, at, back = np.unique(hash_ranges(LOWER[piece.data], starts, ends), return_index=True, return_inverse=True)
         where = np.searchsorted(self.hashes, unique)
         where[where == len(self.hashes)] = 0
         old = self.hashes[where] == unique if len(self.hashes) else np.zeros(len(unique), bool)
-        values = np.zeros(len(unique), np.float32)
+        values = np.zeros((len(unique), 3), np.float32)
         values[old] = self.values[where[old]]
         raw = piece.data.tobytes()
         fresh = np.flatnonzero(~old)
-        values[fresh] = [self.field.emission(raw[a:b].decode("utf-8", "replace")) for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)]
+        if len(fresh):
+            values[fresh] = [self.field.parts(raw[a:b].decode("utf-8", "replace")) for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)]
         if len(self.hashes) + len(fresh) > WORDS:
             self.hashes, self.values = unique, values
         elif len(fresh):
             hashes = np.concatenate([self.hashes, unique[fresh]])
             order = np.argsort(hashes, kind="stable")
             self.hashes, self.values = hashes[order], np.concatenate([self.values, values[fresh]])[order]
-        return values[back]
+        out, near = values[back, 0], doc[1:] == doc[:-1]
+        out[1:] += np.where(near, values[back[:-1], 1], 0)
+        out[:-1] += np.where(near, values[back[1:], 2], 0)
+        return out
 
     def run(self, column: pa.Array) -> tuple[np.ndarray, list[str]]:
         """Score and toxic spans (start:end in code points, comma-joined) of every text."""
@@ -267,9 +307,9 @@ class Scorer:
         for piece in pieces(column):
             starts, ends, first = piece.words(_MEMBER, False)
             n, counts = len(piece), np.diff(first)
-            emissions = self._emissions(piece, starts, ends)
             chains = -(-counts // CHAIN)
             doc = np.repeat(np.arange(n), counts)
+            emissions = self._emissions(piece, starts, ends, doc)
             pos = np.arange(len(starts)) - first[doc]
             chain = (np.cumsum(chains) - chains)[doc] + pos // CHAIN
             value = np.zeros((int(chains.sum()), CHAIN))
