@@ -58,7 +58,7 @@ def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(formatted(with_trap(table(spark, sf_dir, "conversations"))))
+    return read_back(formatted(with_trap(table(spark, sf_dir, "conversations")), keys=("planted",)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
