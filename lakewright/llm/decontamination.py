@@ -8,7 +8,7 @@ every SAMPLE symbols.  All phrases are searched backwards at once, occurrences a
 located by walking to a sampled position, and the spans of a document are merged.
 
 The test phrases are the query side: they are taken in blocks of bounded size, each of
-which is one more pass over the rows, so any number of items works.
+which is one more pass over the rows; the rows are written between passes, so any number of items works with one block in memory.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewright.llm.common import materialise
 from lakewright.llm.text import ALNUM, pieces
 
 WINDOW = 10
@@ -132,17 +133,21 @@ class Phrases:
             n = len(piece)
             own_spans, own_items = [[] for _ in range(n)], [set() for _ in range(n)]
             doc = np.repeat(np.arange(n), np.diff(first))
-            for start, end, who in self._hits(hashes, doc, first):
-                for d in np.unique(doc[start]):
-                    mine = doc[start] == d
-                    own_spans[d] += list(zip((start[mine] - first[d]).tolist(), (end[mine] - first[d]).tolist(), strict=True))
-                    own_items[d].update(who[mine].tolist())
+            for start, length, phrase, owners, begin in self._hits(hashes, doc, first):
+                at = doc[start]
+                order = np.lexsort((start, at))
+                at, start, phrase = at[order], start[order] - first[at[order]], phrase[order]
+                for lo, hi in _groups(at):
+                    d = int(at[lo])
+                    own_spans[d] += _runs(start[lo:hi], length)
+                    for f in np.unique(phrase[lo:hi]).tolist():  # each phrase's items once per document
+                        own_items[d].update(owners[begin[f] : begin[f + 1]].tolist())
             spans += [_merge(s) for s in own_spans]
             items += [[self.ids[i] for i in sorted(s) if self.ids[i] is not None] for s in own_items]
         return (np.concatenate(counts) if counts else np.zeros(0, np.int64)), spans, items
 
     def _hits(self, hashes: np.ndarray, doc: np.ndarray, first: np.ndarray):
-        """(start word, end word, item) arrays of all occurrences."""
+        """By phrase length: start word and phrase of every occurrence, the length, and the phrases' items (owners[begin[f] : begin[f + 1]])."""
         if not len(self.vocabulary) or not len(hashes):
             return
         symbol = np.searchsorted(self.vocabulary, hashes)
@@ -172,11 +177,19 @@ class Phrases:
             many = high - low
             which = np.repeat(np.arange(len(row)), many)
             ranks = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + low[which]
-            start = word[index.locate(ranks)]
-            phrase = row[which]
-            held = begin[phrase + 1] - begin[phrase]
-            item = owners[np.repeat(begin[phrase] - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))]
-            yield np.repeat(start, held), np.repeat(start + n, held), item
+            yield word[index.locate(ranks)], n, row[which], owners, begin
+
+
+def _groups(values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    marks = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return list(zip(marks.tolist(), np.r_[marks[1:], len(values)].tolist(), strict=True))
+
+
+def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Spans of the words in occurrences of one length, by ascending start; overlapping ones are one."""
+    cut = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + length])
+    return list(zip(starts[cut].tolist(), (starts[np.r_[cut[1:], len(starts)] - 1] + length).tolist(), strict=True))
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -210,6 +223,8 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         phrases = Phrases([r.item_id for r in rows], [r.text for r in rows], window)
         sent = docs.sparkSession.sparkContext.broadcast(phrases)
         out = out.mapInArrow(_searcher(sent, kept.index("text"), len(kept)), schema)
+        if block + 1 < blocks:
+            out = materialise(out)  # one block of phrases in memory at a time
     return out
 
 
