@@ -41,6 +41,23 @@ def small(df: DataFrame, entries: str = "1") -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_ENTRIES else df
 
 
+#: Copies of a table that is too large to be broadcast, against keys that very many rows share.
+SALTS = 32
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined to a written table of one row per key, where one key may hold a third of rows: no task gets more than a SALTS-th of a key.
+
+    spread is a column of rows that differs within a key.
+    """
+    ready = small(table)
+    if ready is not table:
+        return rows.join(ready, key, how)
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakewright.llm.common import connected_components, materialise, small
+from lakewright.llm.common import connected_components, join_hot, materialise, small
 from lakewright.llm.text import NON_SPACE, gram_hashes, mix, pieces
 
 SKETCH_WORDS = 16
 #: Members of a group in one block, and pairs of one first document in one part.
 BLOCK, PART = 1024, 4096
+#: Bytes of sets in one batch; a longer set is a batch of its own.
+BATCH_BYTES = 64 << 20
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -146,12 +148,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: tuple[int, int])
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.slice(lo, 200)
-                rows = []
+                rows, size = [], 0
                 for doc_id, items, to in zip(part.column(0).to_pylist(), _sets(part.column(1), n), part.column(2).to_pylist(), strict=True):
                     data = items.tobytes()
-                    rows += [(t["a"], t["part"], t["a"] != doc_id, doc_id, data) for t in to]
-                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "part", "member", "doc_id", "items"])
+                    for t in to:
+                        rows.append((t["a"], t["part"], t["a"] != doc_id, doc_id, data))
+                        size += len(data)
+                        if size > BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, size = [], 0
+                yield _batch(rows)
 
     def check(batches):
         at, first = None, np.zeros(0, np.uint64)
@@ -171,6 +177,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: tuple[int, int])
     return sent.repartition("a", "part").sortWithinPartitions("a", "part", "member").mapInArrow(check, "a long, b long").distinct()
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["a", "part", "member", "doc_id", "items"])
+
+
 def _link(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
@@ -250,10 +261,29 @@ def link_components(docs: DataFrame, n: int = 5, limit: tuple[int, int] = (80, 1
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
+    if not known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _unique_components(docs, n, limit)
+    # texts are nodes of their own first, then the texts of one doc_id join
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = materialise(_unique_components(docs.select(node.alias("doc_id"), "text"), n, limit).withColumnsRenamed({"doc_id": "node", "component_id": "part"}))
+    owners = materialise(known.select(node.alias("node"), "doc_id").distinct())
+    parts = materialise(found.select("node", "part").distinct().join(owners, "node").select("doc_id", "part").distinct())
+    low = parts.groupBy("doc_id").agg(F.min("part").alias("low"))
+    joined = materialise(connected_components(parts.join(low, "doc_id").where("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b"))))
+    final = parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select("doc_id", F.coalesce("component", "part").alias("part"))
+    ids = final.join(final.groupBy("part").agg(F.min("doc_id").alias("component_id")), "part").select("doc_id", "component_id").distinct()
+    named = found.select("node", "n_shingles").join(owners, "node", "left").select("doc_id", "n_shingles")
+    return named.join(ids, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _unique_components(docs: DataFrame, n: int, limit: tuple[int, int]) -> DataFrame:
+    """link_components of docs whose equal doc_ids have equal texts."""
+    known = docs.where("doc_id is not null")
     sets = materialise(document_sets(docs, n))
     same = sets.where("size > 0 and doc_id is not null")
-    first = Window.partitionBy("identity")
-    copies = same.select("doc_id", F.min("doc_id").over(first).alias("first")).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    # the smallest copy by partial aggregates; of a set in very many documents no task sees more than one row per partition, and the way back is salted
+    firsts = materialise(same.groupBy("identity").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("identity", "first"))
+    copies = join_hot(same.select("doc_id", "identity"), firsts, "identity", "doc_id").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
 
     by_key = Window.partitionBy("key")
     facts = materialise(same.groupBy("doc_id").agg(F.min_by(F.struct("size", "sketch"), "identity").alias("f")))

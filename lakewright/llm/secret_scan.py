@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakewright.llm.common import materialise, small
+from lakewright.llm.common import join_hot, materialise
 
 #: The base patterns in their order, with the least length of the whole match (of group 2 for assign).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -132,9 +132,8 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
     p = F.pow(F.lit(2.0), -F.col("bin") * BIN_WIDTH)
     passed = counts.withColumn("ok", p * F.sum("tokens").over(whole) <= rate * F.sum("tokens").over(up))
     limits = passed.where("ok").groupBy("size_class", "plain").agg(F.min("bin").alias("limit"))  # 50 rows at most
-    # distinct tokens: broadcast while they are few; beyond that a token in very many places is a skewed key, which adaptive joins split
-    random = small(materialise(tested.join(F.broadcast(limits), ["size_class", "plain"]).where("bin >= limit").select("token")))
-    hits = found.select("row", F.explode("s3").alias("s")).select("row", "s", F.col("s.value").alias("token")).join(random, "token")
+    random = materialise(tested.join(F.broadcast(limits), ["size_class", "plain"]).where("bin >= limit").select("token"))
+    hits = join_hot(found.select("row", F.explode("s3").alias("s")).select("row", "s", F.col("s.value").alias("token")), random, "token", "row")
     added = hits.groupBy("row").agg(F.collect_list("s").alias("added"))
     joined = found.join(added, "row", "left")
     base = F.concat("s0", "s1", "s2")
