@@ -15,6 +15,8 @@ def shared(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lakewright-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)

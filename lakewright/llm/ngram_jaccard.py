@@ -140,7 +140,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: tuple[int, int])
     Every set is sent straight to its pairs: b's to (a, part), a's to each of its parts, which hold at most PART pairs.
     """
     num, den = limit
-    parted = pairs.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / PART).cast("int"))
+    # parts by hash, as many as PART asks for: counted by partial aggregates, so no task holds all pairs of a much copied document
+    many = small(materialise(pairs.groupBy("a").count().where(F.col("count") > PART).select("a", F.ceil(F.col("count") / PART).alias("parts"))))
+    parted = pairs.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     send = parted.select("a", "part", F.col("b").alias("doc_id")).union(parted.select("a", "part", F.col("a").alias("doc_id")).distinct())
     send = small(materialise(send.groupBy("doc_id").agg(F.collect_list(F.struct("a", "part")).alias("to"))), "size(to)")
 
