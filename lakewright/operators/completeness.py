@@ -10,9 +10,9 @@ relation("dod_3", "SELECT CAST(count(*) AS DOUBLE) AS actual FROM (SELECT entity
 relation("dod_4", "SELECT CAST(count(DISTINCT source_type) AS DOUBLE) AS actual FROM gold_fields WHERE status = 'gold'")
 relation("dod_5", "SELECT CAST(count_if(source_id IS NULL) AS DOUBLE) AS actual FROM gold_fields WHERE status = 'gold'")
 relation("dod_6", "SELECT CAST(count_if(ratio >= 0.8) AS DOUBLE) AS actual FROM completeness WHERE entity_class = 'customer'")
-relation("dod_7", "SELECT coalesce(avg(CASE WHEN ratio >= 0.8 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 0.0) AS actual FROM completeness JOIN (SELECT DISTINCT source FROM gold_links WHERE relation_id = 'same_nation') l ON source = entity_id WHERE entity_class = 'customer'")
-relation("dod_8", "SELECT CAST(count(DISTINCT source) AS DOUBLE) AS actual FROM gold_links WHERE relation_id = 'placed_by'")
-relation("dod_9", "SELECT CASE WHEN count(*) = 0 THEN 0.0 ELSE CAST(count(source) AS DOUBLE) / count(*) END AS actual FROM entities LEFT JOIN (SELECT DISTINCT source FROM gold_links WHERE relation_id = 'placed_by') l ON source = entity_id WHERE entity_class = 'order'")
+relation("dod_7", "SELECT coalesce(avg(CASE WHEN ratio >= 0.8 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 0.0) AS actual FROM completeness JOIN (SELECT source FROM linked WHERE relation_id = 'same_nation') l ON source = entity_id WHERE entity_class = 'customer'")
+relation("dod_8", "SELECT CAST(count(*) AS DOUBLE) AS actual FROM linked WHERE relation_id = 'placed_by'")
+relation("dod_9", "SELECT CASE WHEN count(*) = 0 THEN 0.0 ELSE CAST(count(source) AS DOUBLE) / count(*) END AS actual FROM entities LEFT JOIN (SELECT source FROM linked WHERE relation_id = 'placed_by') l ON source = entity_id WHERE entity_class = 'order'")
 relation(
     "dod_results",
     " UNION ALL ".join(
@@ -28,7 +28,7 @@ relation("dod_compared", "SELECT r.*, CASE operator WHEN '>=' THEN actual >= tar
 
 for number, name in enumerate(("count_entities", "conditions_filter", "with_properties", "source_classes", "no_evidence", "completeness_count", "completeness_share", "relation_count", "relation_share"), 1):
     sql_query(name if name == "conditions_filter" else f"dod_{name}", f"SELECT round(actual, 6) AS actual FROM dod_{number}")
-sql_query("dod_report", "SELECT criterion_id, query, operator, target, round(actual, 6) AS actual, met FROM dod_compared UNION ALL SELECT 'c10', 'unresolved', '>=', CAST(1 AS DOUBLE), CAST(NULL AS DOUBLE), FALSE")
+sql_query("dod_report", "SELECT criterion_id, query, operator, target, round(actual, 6) AS actual, met FROM dod_compared UNION ALL SELECT 'c10', 'unresolved', '>=', CAST(1 AS DOUBLE), CAST(NULL AS DOUBLE), FALSE", shared=("gold_fields", "entities", "linked"))
 sql_query("dod_compare", "SELECT operator, count(*) AS n, count_if(met) AS met FROM dod_compared GROUP BY operator")
 sql_query("dod_coverage", "SELECT coalesce(p.criterion_id, d.criterion_id) AS criterion_id, p.criterion_id IS NOT NULL AS asked, d.criterion_id IS NOT NULL AS compiled FROM (SELECT criterion_id FROM dod_results WHERE criterion_id <> 'c4' UNION ALL SELECT 'c11') p FULL JOIN dod_results d ON p.criterion_id = d.criterion_id")
 sql_query("dod_gaps", "SELECT criterion_id, round(target - actual, 6) AS gap, 1 AS iteration FROM dod_compared WHERE NOT met")

@@ -33,9 +33,6 @@ sql_query("dom_skeleton", "SELECT page_id, skeleton FROM page_rows")
 sql_query("page_text", "SELECT page_id, trim(replace_all(replace_all(replace_all(html, '<(script|style)>[^<]*</(script|style)>', ' '), '<[^>]*>', ' '), '[ \t\n\r]+', ' ')) AS text FROM pages")
 sql_query("challenge_flag", "SELECT page_id, matches(lower(html), 'captcha|verify you are human|access denied|please log ?in') AS challenged FROM pages")
 sql_query("text_rows_split", "SELECT doc_id, length_of(regex_all(text, '([^|]+)', 1)) AS cells FROM documents WHERE has(text, ' | ')")
-sql_query("json_flatten_cross", "SELECT o_orderkey, o_custkey AS cust_id, l_partkey AS line_part, l_quantity AS line_qty, l2 AS tag FROM orders JOIN lineitem ON l_orderkey = o_orderkey CROSS JOIN (SELECT 'a' AS l2 UNION ALL SELECT 'b') t")
-sql_query("json_flatten_keep_arrays", "SELECT o_orderkey, '[' || names_of(CAST(l_partkey AS STRING)) || ']' AS parts, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
-sql_query("json_pointer", "SELECT event_id, key_of(props) AS k, '/k' AS pointer FROM events")
 sql_query("parse_jsonl", "SELECT event_type, min(key_of(props)) AS lowest, max(key_of(props)) AS highest, count(DISTINCT key_of(props)) AS keys FROM events GROUP BY event_type")
 sql_query("record_instances", "SELECT o_orderkey, CASE WHEN count(DISTINCT l_suppkey) > 4 THEN 'ambiguous_multiple_values:supplier' WHEN count(l_suppkey) = 0 THEN 'missing_or_ambiguous_identifier' ELSE 'ok' END AS gap, count(l_suppkey) AS instances FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 sql_query("record_granularity", "SELECT template, CASE WHEN count(DISTINCT skeleton) = 1 THEN 'uniform' ELSE 'mixed' END AS verdict, count(*) AS pages FROM page_types GROUP BY template")
@@ -54,4 +51,7 @@ sql_query("array_map_ops", "SELECT lang, names_of(source) AS sources, count(DIST
 sql_query("pointer_build", "SELECT page_id, '/' || replace(replace(path, '~', '~0'), '/', '~1') AS pointer FROM page_rows")
 sql_query("fingerprints", "SELECT sha(host || '|' || template) AS fingerprint, count(*) AS n FROM page_types GROUP BY host, template")
 sql_query("parse_verdict", "SELECT conv_id, turn, CASE WHEN matches(lower(text), 'unsafe|inject') THEN 'flagged' WHEN matches(lower(text), 'safe|ok') THEN 'safe' ELSE 'unknown' END AS verdict FROM conversations")
-sql_query("md_table_rows", "SELECT doc_id, length_of(regex_all(text, '[|]', 0)) AS bars, regexp_extract(text, '^([^|]*)[|]', 1) AS first_cell FROM documents WHERE has(text, '|')")
+relation("text_lines", "SELECT doc_id, each_of(regex_all(text, '([^\n]+)', 1)) AS line FROM documents WHERE has(text, '|')")
+# table lines hold a bar; a line of bars, dashes, colons and blanks divides header from body
+relation("table_lines", "SELECT doc_id, replace_all(replace_all(trim(line), '^[|]', ''), '[|]$', '') AS inner_line, matches(line, '^[ |:-]*-[ |:-]*$') AS divides FROM text_lines WHERE has(line, '|')")
+sql_query("md_table_rows", "SELECT doc_id, inner_line, trim(part(inner_line, '|', 1)) AS first_cell, 1 + length(inner_line) - length(replace(inner_line, '|', '')) AS cells, count(*) AS n FROM table_lines WHERE NOT divides GROUP BY doc_id, inner_line")

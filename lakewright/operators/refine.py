@@ -33,6 +33,15 @@ relation(
     JOIN present s ON s.entity_class = domain_class AND s.property_id = domain_prop
     JOIN present t ON t.entity_class = range_class AND t.property_id = range_prop AND t.value = s.value WHERE s.entity_id <> t.entity_id""",
 )
+# links by value hub: who has a link, and how many, without listing the pairs
+relation("value_hubs", "SELECT entity_class AS hub_class, property_id AS hub_prop, value AS hub, count(DISTINCT entity_id) AS held, min(entity_id) AS low, max(entity_id) AS high FROM present GROUP BY entity_class, property_id, value")
+relation(
+    "link_counts",
+    """SELECT relation_id, s.entity_id AS source, CAST(sum(held - CASE WHEN domain_class = range_class AND domain_prop = range_prop THEN 1 ELSE 0 END) AS BIGINT) AS links FROM relation_specs
+    JOIN present s ON s.entity_class = domain_class AND s.property_id = domain_prop
+    JOIN value_hubs ON hub_class = range_class AND hub_prop = range_prop AND hub = s.value WHERE low <> s.entity_id OR high <> s.entity_id GROUP BY relation_id, s.entity_id""",
+)
+relation("linked", "SELECT relation_id, source FROM link_counts")
 relation(
     "gold_flags",
     """SELECT a.entity_id, 'shipped_before_order' AS rule_id, a.value_id AS first_id, b.value_id AS second_id FROM present a JOIN present b ON a.entity_id = b.entity_id
@@ -74,7 +83,11 @@ sql_query("completeness_heatmap", "SELECT entity_id, property_id, CASE status WH
 sql_query("coverage_matrix", "SELECT source_id, property_id, n, CASE WHEN n * 4 > 3 * top THEN 3 WHEN n * 2 > top THEN 2 ELSE 1 END AS level FROM (SELECT source_id, property_id, n, max(n) OVER () AS top FROM (SELECT source_id, property_id, count(DISTINCT entity_id) AS n FROM silver GROUP BY source_id, property_id) c) m")
 sql_query("entity_lookup", "SELECT q.c_custkey, CASE WHEN count(DISTINCT entity_id) = 1 THEN min(entity_id) WHEN count(DISTINCT entity_id) > 1 THEN 'CONFLICT' END AS found FROM customer q LEFT JOIN present ON property_id = 'name' AND lower(trim(value)) = lower(trim(c_name)) GROUP BY q.c_custkey")
 sql_query("entity_list", "SELECT entity_id, entity_class, CASE WHEN min(CASE WHEN status = 'gold' THEN 1 ELSE 0 END) = 1 THEN 'complete' WHEN max(CASE WHEN status = 'gold' THEN 1 ELSE 0 END) = 1 THEN 'partial' ELSE 'none' END AS bucket FROM fields WHERE dod AND entity_class IN ('customer', 'supplier') AND has(entity_id, '1') GROUP BY entity_id, entity_class")
-sql_query("entity_page", "SELECT f.entity_id, f.property_id, f.status, f.value, f.value_id, coalesce(l.links, 0) AS links FROM fields f LEFT JOIN (SELECT source, count(*) AS links FROM gold_links GROUP BY source) l ON source = f.entity_id WHERE f.entity_id IN ('customer:1', 'customer:22', 'supplier:3', 'order:11')")
+sql_query(
+    "entity_page",
+    "SELECT f.entity_id, f.property_id, f.status, f.value, f.value_id, coalesce(l.links, 0) AS links FROM fields f LEFT JOIN (SELECT source, CAST(sum(links) AS BIGINT) AS links FROM link_counts GROUP BY source) l ON source = f.entity_id",
+    shared=("gold_fields", "entities"),
+)
 sql_query("export_order", "SELECT row_number() OVER (ORDER BY entity_id) AS position, entity_id, entity_class FROM entities WHERE entity_class <> 'order'")
 sql_query("produced", "SELECT entity_class, count(DISTINCT entity_id) AS entities, count(*) AS gold_values, count(DISTINCT source_id) AS sources, count(DISTINCT source_type) AS source_classes FROM gold_fields WHERE status = 'gold' GROUP BY entity_class")
 sql_query("receipts_topk", "SELECT property_id, entity_id, value_id FROM (SELECT property_id, entity_id, value_id, row_number() OVER (PARTITION BY property_id ORDER BY confidence DESC, sources DESC, entity_id) AS place FROM gold_fields) r WHERE place = 1")

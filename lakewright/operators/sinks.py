@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.plans.dialect import LazyOracle, frame
 from lakewright.plans.registry import query
+from lakewright.plans.written import shared_folder
 from lakewright.sources.lake import export_run, latest_run
 
 
@@ -19,7 +21,7 @@ def _folder(spark: SparkSession) -> str:
 @query("gold_export", LazyOracle("SELECT entity_class, count(*) AS n, 'run-0' AS run_id FROM entities GROUP BY entity_class"))
 def gold_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports the entities of a run, moves the pointer and reads the run back through it."""
-    path = _folder(spark)
+    path = f"{shared_folder(spark)}/exports/{uuid.uuid4().hex}"
     export_run({"entities": frame(spark, sf_dir, "entities")}, path, "run-0")
     run = latest_run(spark, path)
     back = spark.read.schema("entity_id string, entity_class string").json(f"{path}/{run}/entities")

@@ -63,8 +63,22 @@ sql_query("trace_append_valid", "SELECT CASE WHEN mode IS NULL AND event IS NULL
 sql_query("trace_merge", "SELECT count_if(b.step_id IS NULL) AS kept, count_if(a.step_id IS NULL) AS added, count_if(a.h = b.h) AS skipped, count_if(a.h <> b.h) AS clashes FROM (SELECT step_id, sha(step_id || coalesce(mode, '-')) AS h FROM trace WHERE event_id % 10 <> 0) a FULL JOIN (SELECT step_id, sha(step_id || CASE WHEN event_id % 101 = 0 THEN 'x' ELSE coalesce(mode, '-') END) AS h FROM trace WHERE event_id % 10 <> 1) b ON a.step_id = b.step_id")
 sql_query("status_changes", "SELECT event_id, user_id, event_type FROM (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY us, event_id) AS before FROM trace) s WHERE before IS NULL OR before <> event_type")
 sql_query("throughput_windows", "SELECT phase, count_if(us > at_us - CAST(900000000 AS BIGINT)) AS last_15, count_if(us > at_us - CAST(3600000000 AS BIGINT)) AS last_60, count_if(us > at_us - CAST(86400000000 AS BIGINT)) AS last_day, count(*) AS whole FROM trace CROSS JOIN anchor GROUP BY phase")
-sql_query("burn_rate", "SELECT run_id, CAST(sum(CASE WHEN us >= greatest(first_us, at_us - CAST(86400000000 AS BIGINT)) THEN est_usd END) AS DOUBLE) AS usd, at_us - greatest(first_us, at_us - CAST(86400000000 AS BIGINT)) AS window_us FROM (SELECT t.*, min(us) OVER (PARTITION BY run_id) AS first_us FROM trace t) t CROSS JOIN anchor GROUP BY run_id, first_us, at_us")
-sql_query("budget_projection", "SELECT run_id, spent, 100 - spent AS remaining, CASE WHEN spent <= 0 THEN NULL WHEN spent >= 100 THEN 0.0 ELSE round((100 - spent) * hours / spent, 6) END AS hours_left FROM (SELECT run_id, CAST(sum(est_usd) AS DOUBLE) AS spent, (max(us) - min(us)) / CAST(3600000000 AS DOUBLE) AS hours FROM trace GROUP BY run_id) r")
+# the last hour of a run, or all of it if it is younger; a run whose window holds no priced step has no rate
+relation("run_windows", "SELECT run_id, us, est_usd, max(us) OVER (PARTITION BY run_id) AS end_us, greatest(max(us) OVER (PARTITION BY run_id) - CAST(3600000000 AS BIGINT), min(us) OVER (PARTITION BY run_id)) AS start_us FROM trace")
+relation("run_burn", "SELECT run_id, count(est_usd) AS priced, CAST(sum(est_usd) AS DOUBLE) AS usd, CAST(max(end_us) - max(start_us) AS DOUBLE) / 3600000000 AS hours FROM run_windows WHERE us >= start_us GROUP BY run_id")
+relation("run_caps", "SELECT run_id, CASE run_id WHEN 'run-0' THEN CAST(NULL AS DOUBLE) WHEN 'run-1' THEN CAST(0 AS DOUBLE) ELSE CAST(1000000 AS DOUBLE) END AS cap, CAST(sum(est_usd) AS DOUBLE) AS spent FROM trace GROUP BY run_id")
+sql_query(
+    "burn_rate",
+    "SELECT run_id, CASE WHEN priced > 0 AND hours > 0 THEN round(usd / hours, 4) END AS usd_per_hour, round(coalesce(usd, CAST(0 AS DOUBLE)), 6) AS usd, round(hours, 4) AS hours FROM run_burn",
+    """SELECT r.run_id, CASE WHEN count(t.est_usd) = 0 OR hi = lo THEN NULL ELSE round(CAST(sum(t.est_usd) AS DOUBLE) / (least(hi - lo, 3600000000) / 3600000000.0::DOUBLE), 4) END AS usd_per_hour,
+      round(coalesce(CAST(sum(t.est_usd) AS DOUBLE), 0), 6) AS usd, round(least(hi - lo, 3600000000) / 3600000000.0::DOUBLE, 4) AS hours
+      FROM (SELECT run_id, min(us) AS lo, max(us) AS hi FROM trace GROUP BY run_id) r LEFT JOIN trace t ON t.run_id = r.run_id AND t.us BETWEEN hi - 3600000000 AND hi GROUP BY r.run_id, lo, hi""",
+)
+sql_query(
+    "budget_projection",
+    """SELECT c.run_id, spent, round(cap - spent, 6) AS remaining, CASE WHEN cap IS NULL OR spent IS NULL THEN NULL WHEN round(cap - spent, 6) <= 0 THEN CAST(0 AS DOUBLE)
+      WHEN priced > 0 AND hours > 0 AND round(usd / hours, 4) <> 0 THEN round(round(cap - spent, 6) / round(usd / hours, 4), 3) END AS hours_left FROM run_caps c LEFT JOIN run_burn b ON b.run_id = c.run_id""",
+)
 sql_query("progress_stall", "SELECT run_id, max(us) - max(CASE WHEN mode IS NOT NULL AND event IS NULL THEN us END) AS quiet_us, count_if(event_type = 'error') AS errors FROM trace GROUP BY run_id")
 sql_query("liveness", "SELECT run_id, CASE WHEN at_us - max(us) <= CAST(3600000000 AS BIGINT) THEN 'live' WHEN at_us - max(us) <= CAST(86400000000 AS BIGINT) THEN 'quiet' ELSE 'stale' END AS state, at_us - max(us) AS age_us FROM trace CROSS JOIN anchor GROUP BY run_id, at_us")
 sql_query("bronze_growth", "SELECT run_id, count(*) AS now, coalesce(max(CASE WHEN us < at_us - CAST(86400000000 AS BIGINT) THEN place END), min(place)) AS baseline FROM (SELECT t.*, row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS place FROM trace t) t CROSS JOIN anchor GROUP BY run_id")
@@ -105,7 +119,10 @@ sql_query("checkpoint_invalidate", "SELECT user_id, count_if(us >= at_us - CAST(
 sql_query("capture_reuse", "SELECT source_id, phase, max_by(event_id, us * 1000 + event_id % 1000) AS newest FROM trace WHERE mode = 'D0' AND source_id IS NOT NULL GROUP BY source_id, phase")
 sql_query("bronze_replay", "SELECT sha(t.source_id || ':' || t.step_id || ':' || CAST(t.phase AS STRING)) AS replay_id, t.event_id, coalesce(m.n, 0) AS children FROM trace t LEFT JOIN (SELECT parent_id, count(*) AS n FROM trace WHERE parent_id IS NOT NULL GROUP BY parent_id) m ON m.parent_id = t.event_id WHERE t.mode = 'D0' AND t.source_id IS NOT NULL")
 sql_query("scan_jsonl_tolerant", "SELECT event_type, count_if(matches(props, '^[{].*[}]$')) AS good, count_if(NOT matches(props, '^[{].*[}]$')) AS torn, CAST(sum(key_of(props)) AS BIGINT) AS total FROM events GROUP BY event_type")
-sql_query("screen_chunks", "SELECT role, count(*) AS chunks, count_if(role = 'user' AND length(text) > 200) AS screened, count_if(turn % 2 = 0) AS wrapped FROM conversations GROUP BY role")
+# messages of the user or a tool: what page tags enclose, or else a long text as a whole
+relation("screened", "SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'see <page_content>' || text || '</page_content> and <page_content>' || role || '</page_content>' ELSE text END AS text FROM conversations WHERE role IN ('user', 'tool')")
+relation("chunked", "SELECT conv_id, turn, text, regex_all(text, '(?s)<page_content>(.*?)</page_content>', 1) AS tagged FROM screened")
+sql_query("screen_chunks", "SELECT conv_id, turn, each_of(tagged) AS chunk FROM chunked UNION ALL SELECT conv_id, turn, text FROM chunked WHERE length_of(tagged) = 0 AND length(text) > 2000")
 sql_query("screen_verdict", "SELECT turn, count_if(length(text) % 10 >= 8 OR turn % 5 = 4) AS flagged, count_if(NOT (length(text) % 10 >= 8 OR turn % 5 = 4)) AS passed FROM conversations GROUP BY turn")
 sql_query("time_helpers", "SELECT event_id, second_of(ts) AS iso, idiv(us, CAST(60000000 AS BIGINT)) - idiv(lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id), CAST(60000000 AS BIGINT)) AS minutes FROM trace")
 sql_query("safe_ratios", "SELECT run_id, CASE WHEN count(mode) = 0 THEN 0.0 ELSE round(CAST(count_if(mode = 'D0') AS DOUBLE) / count(mode), 4) END AS share, CASE WHEN count_if(event = 'none') = 0 THEN NULL ELSE 1.0 END AS empty FROM trace GROUP BY run_id")

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakewright.plans import registry
+from lakewright.plans.written import written
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _relations: dict[str, str] = {}
@@ -135,14 +136,20 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run_sql(spark, sf_dir, f"SELECT * FROM {name}")
 
 
-def sql_query(name: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Registers a query: Spark runs it, DuckDB verifies it."""
+def sql_query(name: str, sql: str, oracle: str | None = None, shared: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
+    """Registers a query: Spark runs it, DuckDB verifies it, by a statement of its own if one is given.
+
+    Shared relations, in the order of their dependence, are written once before the query reads them several times.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run_sql(spark, sf_dir, sql)
+        given: dict[str, DataFrame] = {}
+        for part in shared:
+            given[part] = written(run_sql(spark, sf_dir, _relations[part], given))
+        return run_sql(spark, sf_dir, sql, given)
 
     run.__name__, run.__doc__ = name, sql
-    return registry.query(name, LazyOracle(sql))(run)
+    return registry.query(name, LazyOracle(oracle or sql))(run)
 
 
 class LazyOracle:

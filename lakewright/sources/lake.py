@@ -46,12 +46,13 @@ def append_silver(rows: DataFrame, path: str) -> None:
 
 
 def export_run(parts: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """Writes each part of a run as JSON lines, then moves the pointer: readers see all of a run or none."""
+    """Writes each part of a run as JSON lines, then adds a pointer to it: readers see all of a run or the one before, never none."""
     spark = next(iter(parts.values())).sparkSession
     for name, rows in parts.items():
         rows.write.mode("overwrite").json(f"{path}/{run_id}/{name}")
-    spark.range(1).select(F.lit(run_id).alias("run_id")).write.mode("overwrite").json(f"{path}/latest")
+    spark.range(1).select(F.lit(run_id).alias("run_id"), F.unix_micros(F.current_timestamp()).alias("at_us")).write.mode("append").json(f"{path}/latest")
 
 
 def latest_run(spark: SparkSession, path: str) -> str:
-    return spark.read.schema("run_id string").json(f"{path}/latest").first()[0]
+    """The run that was exported last."""
+    return spark.read.schema("run_id string, at_us long").json(f"{path}/latest").orderBy(F.desc("at_us"), F.desc("run_id")).first()[0]

@@ -7,13 +7,13 @@ what is there (availableNow) and returns its rows, for tests and batch callers.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.plans.registry import query
+from lakewright.plans.written import shared_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -26,10 +26,10 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return (stream.where(own == name) if name.endswith(".parquet") and os.path.isfile(path) else stream).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def trace_tail(events: DataFrame) -> DataFrame:
-    """Steps in arrival order, each step id once within the watermark."""
+def trace_tail(events: DataFrame, late: str = "30 days") -> DataFrame:
+    """Steps in arrival order, each step id once within the watermark; state older than it is freed."""
     steps = events.select(F.concat(F.lit("step:"), F.col("event_id").cast("string")).alias("step_id"), "ts", "user_id", "event_type")
-    return steps.withWatermark("ts", "3650 days").dropDuplicatesWithinWatermark(["step_id"])
+    return steps.withWatermark("ts", late).dropDuplicatesWithinWatermark(["step_id"])
 
 
 def status_latest(events: DataFrame) -> DataFrame:
@@ -51,13 +51,20 @@ def sessions(events: DataFrame, gap: str = "10 hours", late: str = "1 day") -> D
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over all that is there and returns its output."""
-    spark = stream.sparkSession
-    name = f"feed_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakewright-")
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
+    """Runs the stream over all that is there and returns its output, which executors write and read: nothing of it passes the driver.
+
+    A batch that is tried again replaces its own rows.  Of a complete output only the last batch counts.
+    """
+    spark, path, batches = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/feeds/{uuid.uuid4().hex}", set()
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        batches.add(number)
+
+    run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    found = [f"{path}/rows/{number}" for number in sorted(batches)]
+    return spark.read.schema(stream.schema).parquet(*(found if mode == "append" else found[-1:])) if found else spark.createDataFrame([], stream.schema)
 
 
 @query("stream_trace_tail", "SELECT 'step:' || CAST(event_id AS VARCHAR) AS step_id, user_id, event_type FROM events")
