@@ -5,18 +5,22 @@ both i + shift and j + shift on positions whose remainder is in D.  So two equal
 of w words share an equal anchor of w - v + 1 words that starts at a cover position of
 both documents, at the same distance from the windows' starts.
 
-1. Only anchors at cover positions are hashed and shuffled (4 of 13 positions for 20 words);
+1. Exact copies of a smaller document go whole; what they repeat stands in the first of them too,
+   so no other document needs them.
+2. Only anchors at cover positions are hashed and shuffled (4 of 13 positions for 20 words);
    those that occur once are dropped.
-2. Around every repeated anchor the windows that contain it are hashed: each true repeat
+3. Around every repeated anchor the windows that contain it are hashed: each true repeat
    is among them.  A window that is not the first of its hash is marked.
-3. Marks go back to their documents, whose words are kept or removed.
+4. Marks go back to their documents, whose words are kept or removed.
 
-Steps 2 and 3 read one shuffle of the texts, by document.
+All steps on texts read one shuffle of them, by document.  Before a shuffle by hash a task keeps one entry
+of each hash (see `_entries`), so that a passage of very many documents is no hot key.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakewright.llm.text import NON_SPACE, gram_hashes, pieces
+from lakewright.llm.common import join_hot, materialise, small
+from lakewright.llm.text import NON_SPACE, gram_hashes, mix, pieces
 
 #: Perfect difference sets, period -> remainders.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -40,10 +45,50 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS[period]
 
 
-def _emit(keys: list[str], hashes: np.ndarray, owner: np.ndarray, pos: np.ndarray, values: list[np.ndarray]):
-    for i in range(0, len(hashes), 100_000):
-        at = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([*(pa.array(v[owner[at]]) for v in values), pa.array(hashes[at].view(np.int64)), pa.array(pos[at].astype(np.int32))], [*keys, "h", "pos"])
+#: Entries of a task that are combined before a shuffle.
+RUN = 1 << 21
+
+
+def _entries(keys: list[str], found: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Record batches (*keys, h, pos, many, also) of the entries in `found`: arrays of key values, hashes and positions; no entry repeats.
+
+    Of the entries with one hash in a run of RUN of them only the first by keys and position gets a row of its own, where `many` says
+    that it has others.  These are lists of positions by document (`also`), dealt by document: so a hash has one row a run at most.
+    """
+    names = [*keys, "h", "pos", "many", "also"]
+
+    def batches(run: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        *ids, h, pos = (np.concatenate(c) for c in zip(*run, strict=True))
+        order = np.lexsort((pos, *reversed(ids), h))
+        *ids, h, pos = (c[order] for c in (*ids, h, pos))
+        new = np.r_[True, h[1:] != h[:-1]]
+        many = np.r_[~new[1:], False][new]
+        own = [c[new] for c in (*ids, h.view(np.int64), pos)]
+        for i in range(0, len(many), 100_000):
+            part = [pa.array(c[i : i + 100_000]) for c in (*own, many)]
+            yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.list_(pa.int32()))], names)
+        if new.all():
+            return
+        *ids, pos = (c[~new] for c in (*ids, pos))
+        order = np.lexsort((pos, *reversed(ids)))
+        *ids, pos = (c[order] for c in (*ids, pos))
+        begins = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in ids], axis=0)])
+        for i in range(0, len(begins), 1000):
+            at = begins[i : i + 1000]
+            ends = np.r_[at, begins[i + 1000] if i + 1000 < len(begins) else len(pos)]
+            also = pa.ListArray.from_arrays(pa.array((ends - at[0]).astype(np.int32)), pa.array(pos[at[0] : ends[-1]]))
+            spread = mix(ids[0][at].view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in ids), pa.array(spread), pa.nulls(len(at), pa.int32()), pa.array(np.ones(len(at), bool)), also], names)
+
+    run, size = [], 0
+    for entries in found:
+        run.append(entries)
+        size += len(entries[0])
+        if size >= RUN:
+            yield from batches(run)
+            run, size = [], 0
+    if run:
+        yield from batches(run)
 
 
 def _anchors(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -51,7 +96,7 @@ def _anchors(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
     length = window - period + 1
     member = np.isin(np.arange(period), cover)
 
-    def run(batches):
+    def found(batches):
         for batch in batches:
             values = [batch.column(i).to_numpy() for i in range(len(keys))]
             for piece in pieces(batch.column(len(keys))):
@@ -60,23 +105,22 @@ def _anchors(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
                 doc = np.repeat(np.arange(len(piece)), counts)
                 pos = np.arange(len(words)) - first[doc]
                 keep = np.flatnonzero(member[pos % period] & (pos + length <= counts[doc]) & (counts[doc] >= window))
-                if not len(keep):
-                    continue
-                yield from _emit(keys, gram_hashes(words, length)[keep], piece.first + doc[keep], pos[keep], values)
+                if len(keep):
+                    yield [*(v[piece.first + doc[keep]] for v in values), gram_hashes(words, length)[keep], pos[keep].astype(np.int32)]
 
-    return docs.select(*keys, "text").mapInArrow(run, _schema(keys))
+    return docs.select(*keys, "text").mapInArrow(lambda batches: _entries(keys, found(batches)), _schema(keys))
 
 
 def _schema(keys: list[str]) -> str:
     """Keys first: they repeat from row to row, so that shuffle compression needs one match a row."""
-    return f"{', '.join(f'{k} long' for k in keys)}, h long, pos int"
+    return f"{', '.join(f'{k} long' for k in keys)}, h long, pos int, many boolean, also array<int>"
 
 
 def _windows(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """(*keys, h, pos) of the windows that contain a repeated anchor; docs: keys, text, at (anchor positions)."""
+    """Entries of the windows that contain a repeated anchor; docs: keys, text, at (anchor positions)."""
     period, _ = cover_for(window)
 
-    def run(batches):
+    def found(batches):
         for batch in batches:
             values = [batch.column(i).to_numpy() for i in range(len(keys))]
             lists = batch.column(len(keys) + 1)
@@ -95,34 +139,49 @@ def _windows(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(piece)), np.diff(first))
                 pos = np.arange(len(words)) - first[owner]
                 keep = np.flatnonzero(starts & (pos + window <= np.diff(first)[owner]))
-                if not len(keep):
-                    continue
-                yield from _emit(keys, gram_hashes(words, window)[keep], piece.first + owner[keep], pos[keep], values)
+                if len(keep):
+                    yield [*(v[piece.first + owner[keep]] for v in values), gram_hashes(words, window)[keep], pos[keep].astype(np.int32)]
 
-    return docs.select(*keys, "text", "at").mapInArrow(run, _schema(keys))
+    return docs.select(*keys, "text", "at").mapInArrow(lambda batches: _entries(keys, found(batches)), _schema(keys))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
 
 
+def _copies(texts: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """(*keys) of the texts of window words or more that equal one with smaller keys, by 128 bits; shorter texts may be among them."""
+    prints = texts.where(F.length("text") >= 2 * window - 1).select(*keys, F.md5("text").alias("print"))
+    groups = materialise(prints.groupBy("print").agg(F.min(F.struct(*keys)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return materialise(join_hot(prints, groups, "print", "did").where(F.struct(*keys) > F.col("first")).select(*keys).distinct())
+
+
+def _positions(name: str) -> F.Column:
+    return F.concat(F.collect_set("pos"), F.flatten(F.collect_list("also"))).alias(name)
+
+
 def _marked(docs: DataFrame, window: int) -> DataFrame:
-    """The keyed docs, shuffled by document, with `gone`: the starts of their windows that start earlier too (or null)."""
+    """The keyed docs, shuffled by document, with `gone`: the starts of their windows that start earlier too (or null), and `copy`: all do."""
     keyed = _keyed(docs)
     # doc_id alone names a document, unless some are repeated
     several = keyed.groupBy("did").count().where("count > 1").limit(1).count()
     keys = ["did", "mark"] if several else ["did"]
-    by_doc = keyed.select(*keys, "text").repartition(*keys)  # the same columns for both readers, so that they share the shuffle
-    repeated = _anchors(keyed, keys, window).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    places = repeated.groupBy(*keys).agg(F.collect_set("pos").alias("at"))
-    windows = _windows(by_doc.join(places, keys), keys, window)
-    later = windows.withColumn("rank", F.rank().over(Window.partitionBy("h").orderBy(*keys, "pos"))).where("rank > 1")
-    gone = later.groupBy(*keys).agg(F.collect_set("pos").alias("gone"))
-    return by_doc.join(gone, keys, "left")
-
-
-def _kept(text: str | None, gone: list | None, window: int) -> tuple[int, int, bytes]:
+    by_doc = keyed.select(*keys, "text").repartition(*keys)  # the same columns for all readers, so that they share the shuffle
+    once = by_doc.dropDuplicates(keys) if several else by_doc
+    copies = small(_copies(keyed, keys, window))
+    anchors = _anchors(once.join(copies, keys, "left_anti"), keys, window)
+    repeated = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1 or many")
+    places = repeated.groupBy(*keys).agg(_positions("at"))
+    windows = _windows(once.join(places, keys), keys, window).withColumn("sure", F.col("also").isNotNull())
+    later = windows.withColumn("rank", F.rank().over(Window.partitionBy("h", "sure").orderBy(*keys, "pos"))).where("rank > 1 or sure")
+    gone = later.groupBy(*keys).agg(_positions("gone"))
+    return by_doc.join(gone, keys, "left").join(copies.withColumn("copy", F.lit(True)), keys, "left")
+
+
+def _kept(text: str | None, gone: list | None, copy: bool | None, window: int) -> tuple[int, int, bytes]:
     words = (text or "").encode("utf-8", "surrogatepass").split()
+    if copy and len(words) >= window:
+        return len(words), len(words), b""
     if gone is None:
         return len(words), 0, b" ".join(words)
     change = np.zeros(len(words) + window + 1, np.int32)
@@ -155,11 +214,11 @@ def _finish(docs: DataFrame, window: int, digest: bool) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                rows = [_kept(t.as_py(), g.as_py(), window) for t, g in zip(part.column(1), part.column(2), strict=True)]
+                rows = [_kept(t.as_py(), g.as_py(), c.as_py(), window) for t, g, c in zip(part.column(1), part.column(2), part.column(3), strict=True)]
                 text = [hashlib.sha256(x[2]).hexdigest() if digest else x[2].decode("utf-8", "surrogatepass") for x in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array(text, pa.string())], names)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "text"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = F.when(F.col("did") != NO_ID, F.col("did")).cast(kind).alias("doc_id")
-    return _marked(docs, window).select(own, "text", "gone").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, {names[3]} string")
+    return _marked(docs, window).select(own, "text", "gone", "copy").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, {names[3]} string")

@@ -6,7 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from lakewright.llm import common, decontamination, mixing, ngram_jaccard
+from lakewright.llm import common, decontamination, mixing, ngram_jaccard, substring_dedup
 
 DOCS = "doc_id long, text string"
 
@@ -76,3 +76,25 @@ def test_cells_grow_with_the_table(spark, monkeypatch, rows):
     sized, targets = mixing._plan(docs, mixing.WEIGHTS, 1.0, 0)
     out = mixing.with_copies(sized, targets, 0)
     assert out.agg(F.sum("copies")).first()[0] in (rows - 1, rows, rows + 1)
+
+
+@pytest.mark.parametrize("run", [1, 50, substring_dedup.RUN])
+@pytest.mark.parametrize("entries", [0, common.BROADCAST_ENTRIES])
+def test_common_passages_are_combined_before_the_shuffle(spark, monkeypatch, run, entries):
+    monkeypatch.setattr(substring_dedup, "RUN", run)
+    monkeypatch.setattr(common, "BROADCAST_ENTRIES", entries)
+    passage, line = words(60, 11), "all work and no play "
+    texts = [words(15, 100 + i) + " " + passage + " " + words(i % 7, 200 + i) for i in range(40)] + [line * 30, line * 3, line * 30, "", None, passage, passage, "x " * 19, "x " * 19, "y " * 20, "y " * 20]
+    pairs = list(enumerate(texts, -20))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup_digests(spark.createDataFrame(pairs, DOCS)).collect()}
+    assert got == brute.kept([(i, t or "") for i, t in pairs])
+
+
+def test_rows_of_one_hash_are_bounded_by_runs(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "RUN", 1 << 12)
+    docs = spark.createDataFrame([(i, words(60, 11)) for i in range(500)], DOCS).repartition(4)
+    keyed = substring_dedup._keyed(docs)
+    entries = substring_dedup._anchors(keyed, ["did"], 20)
+    shape = entries.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    places = entries.agg(F.sum(F.when(F.col("also").isNull(), 1).otherwise(F.size("also")))).first()[0]
+    assert shape <= 8 and places == 500 * sum(i % 13 in (0, 1, 3, 9) for i in range(53))
