@@ -49,36 +49,38 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
 RUN = 1 << 21
 
 
-def _entries(keys: list[str], found: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Record batches (*keys, h, pos, many, also) of the entries in `found`: arrays of key values, hashes and positions; no entry repeats.
+def _entries(keys: list[str], hashes: list[str], found: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Record batches (*keys, *hashes, pos, many, also) of the entries in `found`: arrays of key values, hashes and positions; no entry repeats.
 
-    Of the entries with one hash in a run of RUN of them only the first by keys and position gets a row of its own, where `many` says
-    that it has others.  These are lists of positions by document (`also`), dealt by document: so a hash has one row a run at most.
+    Of the entries with equal hashes in a run of RUN of them only the first by keys and position gets a row of its own, where `many` says
+    that it has others.  These are lists of positions by document (`also`), dealt by document: so equal hashes have one row a run at most.
+    Rows stay in the order of the documents, in which shuffle files compress best.
     """
-    names = [*keys, "h", "pos", "many", "also"]
+    names = [*keys, *hashes, "pos", "many", "also"]
 
     def batches(run: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        *ids, h, pos = (np.concatenate(c) for c in zip(*run, strict=True))
-        order = np.lexsort((pos, *reversed(ids), h))
-        *ids, h, pos = (c[order] for c in (*ids, h, pos))
-        new = np.r_[True, h[1:] != h[:-1]]
-        many = np.r_[~new[1:], False][new]
-        own = [c[new] for c in (*ids, h.view(np.int64), pos)]
-        for i in range(0, len(many), 100_000):
-            part = [pa.array(c[i : i + 100_000]) for c in (*own, many)]
-            yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.list_(pa.int32()))], names)
-        if new.all():
+        columns = [np.concatenate(c) for c in zip(*run, strict=True)]
+        ids, marks, pos = columns[: len(keys)], columns[len(keys) : -1], columns[-1]
+        order = np.lexsort((pos, *reversed(ids), *reversed(marks)))
+        new = np.r_[True, np.any([c[order[1:]] != c[order[:-1]] for c in marks], axis=0)]
+        first, rest = order[new], np.sort(order[~new])
+        many = np.zeros(len(pos), bool)
+        many[first] = np.r_[~new[1:], False][new]
+        first.sort()
+        for i in range(0, len(first), 100_000):
+            at = first[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in (*columns, many)), pa.nulls(len(at), pa.list_(pa.int32()))], names)
+        if not len(rest):
             return
-        *ids, pos = (c[~new] for c in (*ids, pos))
-        order = np.lexsort((pos, *reversed(ids)))
-        *ids, pos = (c[order] for c in (*ids, pos))
+        ids, pos = [c[rest] for c in ids], pos[rest]
         begins = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in ids], axis=0)])
         for i in range(0, len(begins), 1000):
             at = begins[i : i + 1000]
             ends = np.r_[at, begins[i + 1000] if i + 1000 < len(begins) else len(pos)]
             also = pa.ListArray.from_arrays(pa.array((ends - at[0]).astype(np.int32)), pa.array(pos[at[0] : ends[-1]]))
-            spread = mix(ids[0][at].view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in ids), pa.array(spread), pa.nulls(len(at), pa.int32()), pa.array(np.ones(len(at), bool)), also], names)
+            spread = mix(ids[0][at].view(np.uint64))
+            dealt = [spread.astype(c.dtype) if c.dtype == np.int32 else spread.view(np.int64) for c in marks]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in ids), *map(pa.array, dealt), pa.nulls(len(at), pa.int32()), pa.array(np.ones(len(at), bool)), also], names)
 
     run, size = [], 0
     for entries in found:
@@ -106,14 +108,19 @@ def _anchors(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
                 pos = np.arange(len(words)) - first[doc]
                 keep = np.flatnonzero(member[pos % period] & (pos + length <= counts[doc]) & (counts[doc] >= window))
                 if len(keep):
-                    yield [*(v[piece.first + doc[keep]] for v in values), gram_hashes(words, length)[keep], pos[keep].astype(np.int32)]
+                    yield [*(v[piece.first + doc[keep]] for v in values), gram_hashes(words, length)[keep].view(np.int64), pos[keep].astype(np.int32)]
 
-    return docs.select(*keys, "text").mapInArrow(lambda batches: _entries(keys, found(batches)), _schema(keys))
+    return docs.select(*keys, "text").mapInArrow(lambda batches: _entries(keys, ["h"], found(batches)), _schema(keys, "h long"))
 
 
-def _schema(keys: list[str]) -> str:
+def _schema(keys: list[str], hashes: str) -> str:
     """Keys first: they repeat from row to row, so that shuffle compression needs one match a row."""
-    return f"{', '.join(f'{k} long' for k in keys)}, h long, pos int, many boolean, also array<int>"
+    return f"{', '.join(f'{k} long' for k in keys)}, {hashes}, pos int, many boolean, also array<int>"
+
+
+def _two_hashes(words: np.ndarray, window: int, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of the windows at keep: words go by them, and 64 bits would meet by chance in the windows of 100 TB."""
+    return gram_hashes(words, window)[keep].view(np.int64), gram_hashes(mix(words), window)[keep].astype(np.int32)
 
 
 def _windows(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -140,9 +147,9 @@ def _windows(docs: DataFrame, keys: list[str], window: int) -> DataFrame:
                 pos = np.arange(len(words)) - first[owner]
                 keep = np.flatnonzero(starts & (pos + window <= np.diff(first)[owner]))
                 if len(keep):
-                    yield [*(v[piece.first + owner[keep]] for v in values), gram_hashes(words, window)[keep], pos[keep].astype(np.int32)]
+                    yield [*(v[piece.first + owner[keep]] for v in values), *_two_hashes(words, window, keep), pos[keep].astype(np.int32)]
 
-    return docs.select(*keys, "text", "at").mapInArrow(lambda batches: _entries(keys, found(batches)), _schema(keys))
+    return docs.select(*keys, "text", "at").mapInArrow(lambda batches: _entries(keys, ["h", "h2"], found(batches)), _schema(keys, "h long, h2 int"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -169,11 +176,11 @@ def _marked(docs: DataFrame, window: int) -> DataFrame:
     by_doc = keyed.select(*keys, "text").repartition(*keys)  # the same columns for all readers, so that they share the shuffle
     once = by_doc.dropDuplicates(keys) if several else by_doc
     copies = small(_copies(keyed, keys, window))
-    anchors = _anchors(once.join(copies, keys, "left_anti"), keys, window)
+    anchors = _anchors((once if several else keyed).join(copies, keys, "left_anti"), keys, window)
     repeated = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1 or many")
     places = repeated.groupBy(*keys).agg(_positions("at"))
     windows = _windows(once.join(places, keys), keys, window).withColumn("sure", F.col("also").isNotNull())
-    later = windows.withColumn("rank", F.rank().over(Window.partitionBy("h", "sure").orderBy(*keys, "pos"))).where("rank > 1 or sure")
+    later = windows.withColumn("rank", F.rank().over(Window.partitionBy("h", "h2", "sure").orderBy(*keys, "pos"))).where("rank > 1 or sure")
     gone = later.groupBy(*keys).agg(_positions("gone"))
     return by_doc.join(gone, keys, "left").join(copies.withColumn("copy", F.lit(True)), keys, "left")
 
