@@ -8,7 +8,6 @@ relation("authority", "SELECT h.host, CASE min(CASE tier WHEN 'review' THEN 0 WH
 relation("lead_scores", "SELECT m.*, CASE WHEN a.tier = 'primary' THEN 100 WHEN a.tier = 'review' THEN 40 ELSE 0 END + 10 * (providers - 1) + 5 * score AS rank_score FROM lead_merged m JOIN authority a ON a.host = m.host")
 
 sql_query("lead_merge", "SELECT url, providers, provider_names, properties, score FROM lead_merged")
-sql_query("lead_rank", "SELECT url, round(rank_score, 6) AS score, row_number() OVER (ORDER BY rank_score DESC, url) AS place FROM lead_scores")
 sql_query("fair_topk", "SELECT url, host, turn FROM (SELECT url, host, turn, row_number() OVER (ORDER BY turn, rank_score DESC, url) AS place FROM (SELECT url, host, rank_score, row_number() OVER (PARTITION BY host ORDER BY rank_score DESC, url) AS turn FROM lead_scores) p WHERE turn <= 2) q WHERE place <= 30")
 sql_query("authority_tier", "SELECT host, tier FROM authority")
 sql_query("authority_matrix", "SELECT r_name AS class, n_name AS level, min(CASE WHEN n_nationkey % 3 = 0 THEN 'primary' WHEN n_nationkey % 3 = 1 THEN 'secondary' ELSE 'review' END) AS tier FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name")

@@ -88,6 +88,5 @@ sql_query(
     "SELECT f.entity_id, f.property_id, f.status, f.value, f.value_id, coalesce(l.links, 0) AS links FROM fields f LEFT JOIN (SELECT source, CAST(sum(links) AS BIGINT) AS links FROM link_counts GROUP BY source) l ON source = f.entity_id",
     shared=("gold_fields", "entities"),
 )
-sql_query("export_order", "SELECT row_number() OVER (ORDER BY entity_id) AS position, entity_id, entity_class FROM entities WHERE entity_class <> 'order'")
 sql_query("produced", "SELECT entity_class, count(DISTINCT entity_id) AS entities, count(*) AS gold_values, count(DISTINCT source_id) AS sources, count(DISTINCT source_type) AS source_classes FROM gold_fields WHERE status = 'gold' GROUP BY entity_class")
 sql_query("receipts_topk", "SELECT property_id, entity_id, value_id FROM (SELECT property_id, entity_id, value_id, row_number() OVER (PARTITION BY property_id ORDER BY confidence DESC, sources DESC, entity_id) AS place FROM gold_fields) r WHERE place = 1")

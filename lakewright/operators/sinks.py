@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +10,7 @@ from pyspark.sql import functions as F
 from lakewright.plans.dialect import LazyOracle, frame
 from lakewright.plans.registry import query
 from lakewright.plans.written import shared_folder
-from lakewright.sources.lake import export_run, latest_run
-
-
-def _folder(spark: SparkSession) -> str:
-    return tempfile.mkdtemp(prefix="lakewright-", dir=(spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://") or None)
+from lakewright.sources.lake import export_run, latest_run, put_bronze, scan_bronze
 
 
 @query("gold_export", LazyOracle("SELECT entity_class, count(*) AS n, 'run-0' AS run_id FROM entities GROUP BY entity_class"))
@@ -30,14 +25,9 @@ def gold_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scan_bronze", "SELECT 'sha256:' || sha256(name) AS bronze_key, TRUE AS intact FROM (SELECT DISTINCT r_name AS name FROM region)")
 def scan_bronze_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Puts each region's name into the store under its digest and scans the store."""
-    from pathlib import Path
-
-    from lakewright.sources.lake import object_path, scan_bronze
-
-    root = _folder(spark)
-    for row in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name", F.sha2(F.col("r_name").cast("binary"), 256).alias("h")).distinct().collect():  # five regions
-        place = Path(object_path(root, f"sha256:{row.h}"))
-        place.parent.mkdir(parents=True, exist_ok=True)
-        place.write_bytes(row.r_name.encode())
+    """Puts each region's name into the store under its digest, puts them all again, and scans the store."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    names = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").cast("binary").alias("content"))
+    for _ in range(2):
+        put_bronze(names, root)
     return scan_bronze(spark, root).select("bronze_key", "intact")

@@ -40,13 +40,22 @@ sql_query("progress_steps", "SELECT run_id, count(*) AS progress FROM trace WHER
 sql_query("gate_answered", "SELECT g.event_id FROM trace g LEFT JOIN (SELECT DISTINCT parent_id AS answered FROM trace WHERE event IS NULL) c ON answered = g.event_id WHERE g.event = 'hard_stop' AND answered IS NULL")
 # attribution: by step and session, else by run, else by time inside a run, else orphan
 relation("run_spans", "SELECT run_id AS span_run, min(us) AS lo, max(us) AS hi FROM trace WHERE event_id % 4 = 1 GROUP BY run_id")
+# a run is looked for in the days it spans only: an equality join, not every call with every run
+relation("run_days", "SELECT span_run, lo, hi, idiv(lo, CAST(86400000000 AS BIGINT)) + k - 1 AS span_day FROM (SELECT span_run, lo, hi, each_of(upto(idiv(hi, CAST(86400000000 AS BIGINT)) - idiv(lo, CAST(86400000000 AS BIGINT)) + 1)) AS k FROM run_spans) d")
+relation("calls_in_runs", "SELECT x.event_id, min(span_run) AS span_run FROM calls x JOIN run_days ON span_day = idiv(x.us, CAST(86400000000 AS BIGINT)) AND x.us BETWEEN lo AND hi GROUP BY x.event_id")
 relation(
     "attributed",
     """SELECT c.event_id, CASE WHEN t.event_id IS NOT NULL THEN 'step' WHEN c.run_id IS NOT NULL THEN 'run' WHEN w.event_id IS NOT NULL THEN 'window' ELSE 'orphan' END AS how, coalesce(t.run_id, c.run_id, w.span_run) AS run_id, c.step_id, c.est_usd
-    FROM calls c LEFT JOIN trace t ON t.step_id = c.step_id AND (c.session_id IS NULL OR t.session_id = c.session_id)
-    LEFT JOIN (SELECT x.event_id, min(span_run) AS span_run FROM calls x JOIN run_spans ON x.us BETWEEN lo AND hi GROUP BY x.event_id) w ON w.event_id = c.event_id""",
+    FROM calls c LEFT JOIN trace t ON t.step_id = c.step_id AND (c.session_id IS NULL OR t.session_id = c.session_id) LEFT JOIN calls_in_runs w ON w.event_id = c.event_id""",
+)
+sql_query(
+    "call_attribution",
+    "SELECT how, run_id, count(*) AS n, CAST(sum(est_usd) AS DOUBLE) AS usd FROM attributed GROUP BY how, run_id",
+    """SELECT how, run_id, count(*) AS n, CAST(sum(est_usd) AS DOUBLE) AS usd FROM (
+      SELECT CASE WHEN t.event_id IS NOT NULL THEN 'step' WHEN c.run_id IS NOT NULL THEN 'run' WHEN w.span_run IS NOT NULL THEN 'window' ELSE 'orphan' END AS how, coalesce(t.run_id, c.run_id, w.span_run) AS run_id, c.est_usd
+      FROM (SELECT *, (SELECT min(span_run) FROM run_spans s WHERE calls.us BETWEEN s.lo AND s.hi) AS span_run FROM calls) c LEFT JOIN trace t ON t.step_id = c.step_id AND t.session_id = c.session_id
+      LEFT JOIN (SELECT DISTINCT span_run FROM run_spans) w ON w.span_run = c.span_run) a GROUP BY how, run_id""",
 )
-sql_query("call_attribution", "SELECT how, run_id, count(*) AS n, CAST(sum(est_usd) AS DOUBLE) AS usd FROM attributed GROUP BY how, run_id")
 sql_query("unmatched_model_steps", "SELECT t.event_id FROM trace t LEFT JOIN (SELECT DISTINCT step_id AS called FROM calls WHERE step_id IS NOT NULL) c ON called = t.step_id WHERE t.mode IN ('S1', 'S2') AND called IS NULL")
 sql_query("orphan_calls", "SELECT c.event_id, CASE WHEN c.step_id IS NULL THEN 'no step' ELSE 'unknown step' END AS reason FROM calls c LEFT JOIN trace t ON t.step_id = c.step_id WHERE t.step_id IS NULL AND c.run_id IS NULL")
 sql_query("jobs_latest", "SELECT job_id, event_id, failure_reason, source_id FROM (SELECT j.*, row_number() OVER (PARTITION BY job_id ORDER BY us DESC, event_id DESC) AS place FROM jobs j) r WHERE place = 1")

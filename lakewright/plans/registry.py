@@ -29,7 +29,7 @@ def load() -> None:
     """Imports the modules that register queries."""
     import importlib
 
-    for module in ("sources.fixtures", "operators.silver", "operators.refine", "operators.completeness", "operators.telemetry", "operators.graphs", "operators.chains", "operators.admission", "operators.discovery", "operators.extraction", "operators.sinks", "functions.documents", "functions.failure_kinds", "functions.text_rules", "functions.json_records", "functions.profiler", "streaming.feeds"):
+    for module in ("sources.fixtures", "operators.silver", "operators.refine", "operators.completeness", "operators.telemetry", "operators.graphs", "operators.chains", "operators.admission", "operators.discovery", "operators.extraction", "operators.ranking", "operators.sinks", "functions.documents", "functions.failure_kinds", "functions.text_rules", "functions.json_records", "functions.profiler", "streaming.feeds"):
         importlib.import_module(f"lakewright.{module}")
 
 

@@ -94,3 +94,29 @@ def test_repeated_labels_against_python(spark):
 
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tr.unrepeated(F.col("t")).alias("u")).collect()
     assert [(x.t, x.u) for x in got] == [(t, once(t)) for t in texts]
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_positions_over_ranges(spark, ranges):
+    from lakewright.operators.ranking import positions
+
+    r = random.Random(5)
+    rows = [(i, r.choice([None, 1, 1, 1, 2, 9])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, v int")
+    got = {x.id: x.place for x in positions(df, [F.col("v").desc_nulls_first(), F.col("id").asc()], ranges=ranges).collect()}
+    order = sorted(rows, key=lambda x: (x[1] is not None, -(x[1] or 0), x[0]))
+    assert got == {i: n for n, (i, _) in enumerate(order, 1)}
+    assert positions(df.where("id < 0"), [F.col("id").asc()]).count() == 0
+
+
+def test_puts_are_idempotent(spark, tmp_path):
+    from lakewright.sources.lake import put_bronze, scan_bronze
+
+    payloads = spark.createDataFrame([(b"a",), (b"a",), (b"",), (None,), (bytes(range(256)) * 5000,)], "content binary")
+    first = put_bronze(payloads, f"file://{tmp_path}")
+    assert sorted((r.length, r.put) for r in first.collect()) == [(0, True), (1, True), (1280000, True)]
+    more = put_bronze(payloads.union(spark.createDataFrame([(b"b",)], "content binary")), f"file://{tmp_path}")
+    assert sorted((r.length, r.put) for r in more.collect()) == [(0, False), (1, False), (1, True), (1280000, False)]
+    stored = scan_bronze(spark, f"file://{tmp_path}").collect()
+    assert {r.bronze_key for r in stored} == {r.bronze_key for r in more.collect() if r.length} and all(r.intact for r in stored)
+    assert sorted(p.name[:5] for p in tmp_path.iterdir()) == ["bronze"[:5]]
