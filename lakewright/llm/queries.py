@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakewright.llm.chat_format import formatted, read_back, with_trap
 from lakewright.llm.common import table
+from lakewright.llm.conversation_repair import repair_report
 from lakewright.llm.decontamination import contamination
+from lakewright.llm.golay_simhash import simhash_components
+from lakewright.llm.lexical_search import ranked
 from lakewright.llm.mixing import mixed_sizes
 from lakewright.llm.ngram_jaccard import link_components
 from lakewright.llm.secret_scan import secrets
@@ -61,6 +64,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted(with_trap(table(spark, sf_dir, "conversations")), keys=("planted",)))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item; nulls, ties and repeats as lexical_search.ranked states."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of each damaged conversation; nulls, ties and repeats as conversation_repair.repair_report states."""
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document; nulls and repeats as golay_simhash.simhash_components states."""
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
@@ -72,7 +90,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_binary": op8_token_binary,
     "op9_site_templates": op9_site_templates,
     "op10_chat_format": op10_chat_format,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_golay_simhash": op13_golay_simhash,
 }
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: DuckDB twins of the queries that SQL can express; the others are tested against plain Python versions.
@@ -105,6 +127,14 @@ links AS (SELECT a, b FROM pairs JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id =
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT x, b FROM reach JOIN both_ways ON a = y)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, d.doc_id) AS component_id FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON x = d.doc_id""",
+    "op11_lexical_search": rf"""
+WITH d AS (SELECT doc_id, len(w) AS n, w FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents) WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM c) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN p USING (term) CROSS JOIN c GROUP BY 1, 2)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0) WHERE place <= 20""",
     "op10_chat_format": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
