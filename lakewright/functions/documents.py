@@ -118,16 +118,20 @@ def repeated_blocks(html: str):
             yield f"{best[0]}.{best[1]}", number, fields
 
 
-def select_records(text: str):
-    """The shallowest array of objects of a JSON document (ties: more objects, then the pointer), one row each."""
-    level, found = [("", json.loads(text))], []
+def shallowest_records(document):
+    """(pointer, records) of the shallowest array of objects of a JSON document (ties: more objects, then the pointer), or None."""
+    level, found = [("", document)], []
     while level and not found:
         found = [(-len(v), p, v) for p, v in level if isinstance(v, list) and v and all(isinstance(x, dict) for x in v)]
         level = [(f"{p}/{k}", x) for p, v in level for k, x in (v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ())]
-    if found:
-        _, pointer, records = min(found, key=lambda f: f[:2])
-        for number, record in enumerate(records, 1):
-            yield pointer, number, [f"{k}={v if isinstance(v, str) else json.dumps(v, sort_keys=True)}" for k, v in sorted(record.items())]
+    return min(found, key=lambda f: f[:2])[1:] if found else None
+
+
+def select_records(text: str):
+    """The records of a JSON document, one row each."""
+    if found := shallowest_records(json.loads(text)):
+        for number, record in enumerate(found[1], 1):
+            yield found[0], number, [f"{k}={v if isinstance(v, str) else json.dumps(v, sort_keys=True)}" for k, v in sorted(record.items())]
 
 
 def json_bounds(text: str, depth: int = 64, items: int = 100_000) -> tuple[int, int, bool]:

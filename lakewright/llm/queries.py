@@ -141,4 +141,36 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(length('<|im_start|><|im_end|>') + 2 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE k AS (SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+crc AS (SELECT s, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM k
+  UNION ALL SELECT s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM (SELECT s, i, CASE WHEN i % 8 = 0 THEN xor(v, ascii(substr(s, i // 8 + 1, 1))) ELSE v END AS x FROM crc WHERE i < 8 * length(s))),
+kinds AS (SELECT s, xor(v, 4294967295) % 20 AS kind FROM crc WHERE i = 8 * length(s)),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, kind FROM conversations JOIN kinds ON s = coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')),
+harmed AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM raw WHERE kind <> 0),
+seen AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) || left(role, 1) AS step FROM harmed),
+faults AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(step IS NOT NULL AND step NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv_id),
+moves(edit, initial, q1, q2, w) AS (VALUES ('D', '*', 0, 0, 3), ('D', '*', 1, 1, 3), ('D', '*', 2, 2, 3), ('D', '*', 3, 3, 3), ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0), ('R', '*', 0, 2, 2), ('R', '*', 1, 2, 2), ('R', '*', 3, 2, 2), ('R', '*', 2, 3, 2)),
+adds(p1, p2, more, edits, rows) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', 'user:
+'), (1, 2, 2, 'I', 'user:
+'), (3, 2, 2, 'I', 'user:
+'), (2, 3, 2, 'I', 'assistant:
+'), (0, 3, 4, 'II', 'user:
+assistant:
+'), (1, 3, 4, 'II', 'user:
+assistant:
+')),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+layers AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, p2 AS q, {'c': more, 'a': edits, 't': replace(rows, '
+', chr(10))} AS b FROM convs JOIN adds ON p1 = 0
+  UNION ALL SELECT conv_id, i, p2, min({'c': c + more, 'a': a || edits, 't': t || replace(rows, '
+', chr(10))}) FROM (
+    SELECT l.conv_id, f.i, q2, l.b.c + w + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 1 ELSE 0 END AS c, l.b.a || edit AS a,
+    l.b.t || CASE edit WHEN 'K' THEN role || ':' || text || chr(10) WHEN 'R' THEN CASE q2 WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || text || chr(10) ELSE '' END AS t
+    FROM layers l JOIN faults f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i + 1 JOIN moves ON q1 = l.q AND (edit = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (initial = '*' OR initial = left(role, 1))) JOIN adds ON p1 = q2 GROUP BY 1, 2, 3),
+done AS (SELECT l.conv_id, min(b) AS b FROM layers l LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM l.conv_id WHERE i = coalesce(n, 0) AND q IN (0, 3) GROUP BY 1)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(left(b.t, greatest(length(b.t) - 1, 0))) AS repaired_sha256
+FROM done d LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM d.conv_id""",
 }
