@@ -215,7 +215,8 @@ def sample_tree(docs: DataFrame) -> bytes:
         tree = _fitted(pa.chunked_array(texts, pa.string()).combine_chunks() if texts else pa.array([], pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array([tree.dumped()], pa.binary())], ["tree"])
 
-    return bytes(chosen.limit(2 * SAMPLE).coalesce(1).mapInArrow(run, "tree binary").first()[0])
+    fitted = chosen.limit(2 * SAMPLE).coalesce(1).mapInArrow(run, "tree binary").first()
+    return bytes(fitted[0]) if fitted else Tree(pa.array([], pa.binary()), np.zeros((0, 1), np.float32), np.zeros(1)).dumped()
 
 
 class Index:
@@ -268,15 +269,15 @@ def _dealt(docs: DataFrame, tree: bytes, parts: dict[int, int]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _DEALT)
 
 
-def _shards(part: pa.Table, number: int, documents: int, words: int) -> Iterator[pa.RecordBatch]:
-    """Index rows of one part: its documents bisected and cut into shards."""
+def _shards(part: pa.Table, number: int, documents: int, words: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Index rows of one part: its documents bisected and cut into shards of at most size."""
     lengths = part["n"].to_numpy()
     data = np.frombuffer(b"".join(x.as_py() for x in part["terms"]), np.uint8)
     counts = [np.frombuffer(x.as_py(), np.int64) for x in part["counts"]]
     doc = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
     found = _split_terms(data).dictionary_encode()
     term, tf, width = found.indices.to_numpy().astype(np.int64), np.concatenate(counts), len(found.dictionary)
-    order, shard = bisected(doc, term, len(lengths), SHARD)
+    order, shard = bisected(doc, term, len(lengths), size)
     place, of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     first = np.searchsorted(shard, np.arange(int(shard[-1]) + 1))
     place[order], of[order] = np.arange(len(order)) - first[shard], shard
@@ -293,8 +294,8 @@ def _shards(part: pa.Table, number: int, documents: int, words: int) -> Iterator
         hi = min(lo + 50_000, len(begin))
         cut = blobs[lo : hi + 1]
         packed = [
-            pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((cut - cut[0]) * size), pa.py_buffer(np.ascontiguousarray(values[cut[0] : cut[-1]]))]).cast(pa.binary())
-            for values, size in ((places, 2), (impact.astype(np.int32), 4))
+            pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((cut - cut[0]) * bytes_each), pa.py_buffer(np.ascontiguousarray(values[cut[0] : cut[-1]]))]).cast(pa.binary())
+            for values, bytes_each in ((places, 2), (impact.astype(np.int32), 4))
         ]
         text = names.take(pa.array(key[begin[lo:hi]] % width)).cast(pa.string())
         empty = pa.nulls(hi - lo, pa.list_(pa.int64()))
@@ -312,7 +313,7 @@ def built(docs: DataFrame) -> Index:
     loads = _routed(docs, tree).groupBy("leaf").agg(F.count("*").alias("documents"), F.sum("n").alias("words"), F.sum("postings").alias("postings")).collect()  # a row a leaf
     documents, words = sum(r.documents for r in loads), sum(r.words for r in loads)
     parts = {r.leaf: max(-(-r.documents // PART), -(-r.postings // PART_POSTINGS)) for r in loads}
-    before, numbers = 0, {}
+    before, numbers, size = 0, {}, SHARD
     for leaf in sorted(parts):
         numbers[leaf], before = before, before + parts[leaf]
 
@@ -325,12 +326,12 @@ def built(docs: DataFrame) -> Index:
                 if hi > lo:
                     own = (int(keys[0, lo]), int(keys[1, lo]))
                     if held and own != at:
-                        yield from _shards(pa.Table.from_batches(held), numbers[at[0]] + at[1], documents, words)
+                        yield from _shards(pa.Table.from_batches(held), numbers[at[0]] + at[1], documents, words, size)
                         held = []
                     at = own
                     held.append(batch.slice(lo, hi - lo))
         if held:
-            yield from _shards(pa.Table.from_batches(held), numbers[at[0]] + at[1], documents, words)
+            yield from _shards(pa.Table.from_batches(held), numbers[at[0]] + at[1], documents, words, size)
 
     dealt = _dealt(docs, tree, parts).repartition("leaf", "sub").sortWithinPartitions("leaf", "sub", "doc_id")
     rows = materialise(dealt.mapInArrow(run, _ROWS))
