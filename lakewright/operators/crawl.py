@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 from pyspark.sql.window import Window
 
 from lakewright.plans.registry import query
@@ -119,12 +120,12 @@ def robots_rules(text: str, agent: str) -> list[tuple[bool, str]]:
     return [r for rules in own for r in rules] if own else groups.get("*", [])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([resolve(b, h) if b is not None and h is not None else None for b, h in zip(base, href, strict=True)], dtype=object)
 
 
-@pandas_udf("array<struct<allow: boolean, pattern: string>>")
+@pandas_udf(ArrayType(StructType().add("allow", BooleanType()).add("pattern", StringType())))
 def _rules(text: pd.Series, agent: pd.Series) -> pd.Series:
     return pd.Series([[{"allow": a, "pattern": p} for a, p in robots_rules(t or "", n)] for t, n in zip(text, agent, strict=True)])
 

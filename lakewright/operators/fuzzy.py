@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from lakewright.plans.registry import query
 from lakewright.plans.written import written
@@ -70,7 +71,7 @@ def _keyed(names: DataFrame, rank: dict[str, int], ratio: float, left: bool) ->
     return names.mapInArrow(run, "key string, name string")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([match_ratio(x, y) for x, y in zip(a, b, strict=True)])
 

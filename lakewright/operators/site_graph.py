@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from lakewright.operators.crawl import Crawl, Policy, crawl, page_responses, page_seeds
 from lakewright.plans.registry import query
@@ -28,7 +29,7 @@ class _Tags(HTMLParser):
         self.names.append(tag)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def skeleton(html: pd.Series) -> pd.Series:
     """Digest of the names of a page's elements in their order; null without a page."""
 
