@@ -153,7 +153,7 @@ def _allowed(url: Column, policy: Policy) -> Column:
     """Whether rules, a column, allow an address."""
     path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^#]*)", 1)
     path = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
-    hits = F.filter("rules", lambda r: path.rlike(r["pattern"]))
+    hits = F.filter("rules", lambda r: F.rlike(path, r["pattern"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))["allow"] if policy.longest else F.get(hits, F.lit(0))["allow"]
     return F.coalesce(best, F.lit(True))
 

@@ -70,12 +70,12 @@ def fair_choice(leads: DataFrame, gaps: DataFrame, limit: int, per_host: int = 2
     one = leads.groupBy("scope", "url").agg(F.max_by(F.struct(F.coalesce("host", F.lit("")).alias("host"), "score", F.coalesce("gaps", F.array().cast("array<string>")).alias("gaps"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("pinned", "portal", "root"))), F.struct(F.coalesce("score", F.lit(float("-inf"))), "host")).alias("x")).select("scope", "url", "x.*")
     asked = gaps.groupBy("scope", "gap").agg(F.min("turn").alias("turn"))
     by_gap = one.select("scope", "url", "host", "score", F.explode(F.array_distinct("gaps")).alias("gap")).join(asked.select("scope", "gap"), ["scope", "gap"])
-    within = lambda keys, most: F.row_number().over(Window.partitionBy(*keys).orderBy(*rank)) <= most
+    within = lambda rows, keys, most: rows.withColumn("_w", F.row_number().over(Window.partitionBy(*keys).orderBy(*rank))).where(F.col("_w") <= most)
     # pinned leads and a portal do not all count for a host's share, so as many more of a host may be chosen beside it
     more = one.where("pinned").groupBy("scope").agg(F.least(F.count("*"), F.lit(limit)).alias("_p"))
     spare = by_gap.join(more, "scope", "left").withColumn("_n", F.row_number().over(Window.partitionBy("scope", "gap", "host").orderBy(*rank))).where(F.col("_n") <= per_host + limit).where(F.col("_n") <= per_host + F.coalesce("_p", F.lit(0)))
-    few = spare.where(within(("scope", "gap"), (limit + 1) ** 2)).select("scope", "url")
-    special = [one.where(kind).where(within(("scope",), most)).select("scope", "url") for kind, most in (("pinned", limit), ("portal", 1), ("root", limit + roots))]
+    few = within(spare, ("scope", "gap"), (limit + 1) ** 2).select("scope", "url")
+    special = [within(one.where(kind), ("scope",), most).select("scope", "url") for kind, most in (("pinned", limit), ("portal", 1), ("root", limit + roots))]
     needed = few.union(special[0]).union(special[1]).union(special[2]).distinct()
     turns = asked.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("turn", "gap"))).alias("turns"))
     bounded = one.join(needed, ["scope", "url"]).join(turns, "scope").select("scope", "url", "host", "score", "gaps", "pinned", "portal", "root", F.col("turns.gap").alias("turns"))
