@@ -162,13 +162,13 @@ def _followed(attempts: DataFrame, responses: DataFrame, robots: DataFrame, poli
     """attempts(site, domain, url, place, ...) with final_url, chain, status, content_type, body, hops, blocked: each followed over its redirects."""
     facts = [c for c in attempts.columns]
     todo = attempts.withColumn("at", F.col("url")).withColumn("chain", F.array("url")).withColumn("hops", F.lit(0))
-    known = responses.select(F.col("url").alias("at"), "status", "location", "content_type", "body")
+    known = responses.select(F.col("url").alias("at"), "status", "location", "content_type", "body", F.lit(True).alias("_there"))
     done = None
     while True:
         asked = todo.withColumn("origin", origin(F.col("at"))).join(robots, "origin", "left")
         # an origin without a robots file among the responses has none: it allows all
         asked = asked.withColumn("blocked", F.when(~F.coalesce("open", F.lit(True)), "robots_unavailable").when(F.col("rules").isNotNull() & ~_allowed(F.col("at"), policy), "robots_disallow"))
-        got = asked.drop("open", "rules", "origin").join(known, "at", "left").withColumn("status", F.coalesce("status", F.when(F.col("content_type").isNull(), 404)))
+        got = asked.drop("open", "rules", "origin").join(known, "at", "left").withColumn("status", F.coalesce("status", F.when(F.col("_there").isNull(), 404))).drop("_there")
         moved = F.col("blocked").isNull() & F.coalesce(F.col("status").isin(*MOVED), F.lit(False))
         target = _resolved(F.col("at"), F.when(moved & (F.trim(F.coalesce("location", F.lit(""))) != ""), F.col("location")))
         got = written(got.withColumn("moved", moved).withColumn("target", target))
