@@ -79,45 +79,6 @@ def html_table_rows(html: str):
     return parser.rows
 
 
-class _Blocks(HTMLParser):
-    """Elements by (tag, classes) under their parents, with the text fields inside."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack, self.found = [], []
-
-    def handle_starttag(self, tag, attrs):
-        classes = " ".join(sorted((dict(attrs).get("class") or "").split()))
-        self.stack.append((tag, classes, []))
-
-    def handle_data(self, data):
-        if data.strip():
-            for _, _, fields in self.stack:
-                fields.append(" ".join(data.split()))
-
-    def handle_endtag(self, tag):
-        while self.stack:
-            name, classes, fields = self.stack.pop()
-            self.found.append((name, classes, fields))
-            if name == tag:
-                break
-
-
-def repeated_blocks(html: str):
-    """The listing of a page: of the groups with three members of three fields at least, the one with most fields."""
-    parser = _Blocks()
-    parser.feed(html or "")
-    groups: dict[tuple[str, str], list[list[str]]] = {}
-    for tag, classes, fields in parser.found:
-        if len(fields) >= 3:
-            groups.setdefault((tag, classes), []).append(fields)
-    groups = {k: v for k, v in groups.items() if len(v) >= 3}
-    if groups:
-        best = max(groups, key=lambda k: (sum(map(len, groups[k])), k))
-        for number, fields in enumerate(groups[best], 1):
-            yield f"{best[0]}.{best[1]}", number, fields
-
-
 def shallowest_records(document):
     """(pointer, records) of the shallowest array of objects of a JSON document (ties: more objects, then the pointer), or None."""
     level, found = [("", document)], []
@@ -185,12 +146,6 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(pages.select(F.col("page_id").alias("doc_id"), table.alias("content")), html_table_rows)
 
 
-@query("html_repeated_blocks")
-def html_repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return _tables(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("content")), repeated_blocks)
-
-
 @query("parse_csv", "SELECT n_nationkey AS doc_id, 'csv' AS sheet, CAST(1 AS INTEGER) AS row_number, CAST(n_nationkey AS VARCHAR) || '|' || n_name AS cells FROM nation")
 def parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")

@@ -273,3 +273,10 @@ def picked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links in the lists of every page's menu, by address and text."""
     found = selected(nodes(spark.read.parquet(f"{sf_dir}/pages.parquet")), "nav li > a[href]")
     return found.groupBy("page_id", F.col("attrs")["href"].alias("href"), "text").agg(F.count("*").alias("n"))
+
+
+@query("html_repeated_blocks")
+def html_repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of every page that has one, with its labels."""
+    records = listings(nodes(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return records.join(listing_labels(records), "page_id")

@@ -17,6 +17,7 @@ VARIANTS = (
     ("size", "-3", "negative"), ("price", "1.25", None), ("price", '"1.25"', "number"), ("day", '"2024-02-29"', None), ("day", '"2023-02-29"', "date"), ("day", '"2024-2-9"', "date"), ("at", '"2024-01-02T03:04:05+00:00"', None),
     ("at", '"2024-01-02T03:04:05"', "timezone"), ("at", '"noon"', "timestamp"), ("home", '"https://a.x/b"', None), ("home", '"a/b"', "uri"), ("tint", '"red"', "datatype"), ("name", "null", "scalar"), ("name", "[1]", "scalar"),
     ("name", '"x"', "class"), ("name", '"x"', "entity id"), ("nick", '"x"', "property"), ("name", '"x"', "confidence"), ("name", '"x"', "confidence"), ("name", '"x"', "tier"), ("name", '"x"', "publisher"), ("name", '"x"', "value id"), ("name", '"x"', "evidence"), ("name", '"x"', "backend"),
+    ("at", '"2024-01-02T99:99:99+00:00"', "timestamp"), ("at", '"2024-01-02T23:59:59+24:00"', "timestamp"), ("at", '"2024-01-02T23:59:59.5-23:59"', None), ("price", "1e400", "number"), ("price", "1e308", None),
 )
 _CASE = lambda i: "CASE v " + " ".join(f"WHEN {k} THEN {_text(x[i])}" for k, x in enumerate(VARIANTS)) + " END"
 
@@ -49,9 +50,9 @@ relation(
       WHEN kind IN ('string', 'text', 'normalizedstring', 'token') THEN CASE WHEN NOT is_text THEN 'string' END
       WHEN kind IN ('boolean', 'bool') THEN CASE WHEN value NOT IN ('true', 'false') THEN 'boolean' END
       WHEN kind IN ('integer', 'int', 'long', 'nonnegativeinteger') THEN CASE WHEN NOT matches(value, '^-?[0-9]+$') THEN 'integer' WHEN kind = 'nonnegativeinteger' AND matches(value, '^-0*[1-9]') THEN 'negative' END
-      WHEN kind IN ('number', 'decimal', 'float', 'double') THEN CASE WHEN NOT matches(value, '^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$') THEN 'number' END
+      WHEN kind IN ('number', 'decimal', 'float', 'double') THEN CASE WHEN NOT matches(value, '^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$') OR NOT coalesce(abs(TRY_CAST(value AS DOUBLE)) <= 1.7976931348623157E308, FALSE) THEN 'number' END
       WHEN kind = 'date' THEN CASE WHEN words IS NULL OR NOT matches(words, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') OR TRY_CAST(words AS DATE) IS NULL THEN 'date' END
-      WHEN kind IN ('datetime', 'date-time') THEN CASE WHEN words IS NULL OR NOT matches(words, '^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$') OR TRY_CAST(substr(words, 1, 10) AS DATE) IS NULL THEN 'timestamp'
+      WHEN kind IN ('datetime', 'date-time') THEN CASE WHEN words IS NULL OR NOT matches(words, '^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]+)?)?(Z|[+-]([01][0-9]|2[0-3]):?[0-5][0-9])?)?$') OR TRY_CAST(substr(words, 1, 10) AS DATE) IS NULL THEN 'timestamp'
         WHEN NOT matches(words, '(Z|[+-][0-9]{2}:?[0-9]{2})$') OR length(words) <= 10 THEN 'timezone' END
       WHEN kind IN ('uri', 'url', 'anyuri') THEN CASE WHEN words IS NULL OR NOT matches(words, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'uri' END
       ELSE 'datatype' END AS type_reason, CASE
@@ -74,18 +75,22 @@ sql_query(
 )
 
 # Conditions: an entity meets a query if all its conditions hold on gold values; a property that is missing or not gold fails every operator.
+# A query whose condition is null has none: every entity of its class meets it.
 relation(
     "asked",
     """SELECT 'q1' AS query_id, 'order' AS query_class, 'status' AS cond_prop, 'eq' AS cond_op, 'F' AS cond_value UNION ALL SELECT 'q1', 'order', 'ship_date', 'exists', NULL
-    UNION ALL SELECT 'q2', 'order', 'status', 'ne', 'F' UNION ALL SELECT 'q3', 'customer', 'segment', 'exists', NULL UNION ALL SELECT 'q3', 'customer', 'nation', 'eq', '3' UNION ALL SELECT 'q4', NULL, 'name', 'exists', NULL""",
+    UNION ALL SELECT 'q2', 'order', 'status', 'ne', 'F' UNION ALL SELECT 'q3', 'customer', 'segment', 'exists', NULL UNION ALL SELECT 'q3', 'customer', 'nation', 'eq', '3' UNION ALL SELECT 'q4', NULL, 'name', 'exists', NULL
+    UNION ALL SELECT 'q5', 'customer', NULL, NULL, NULL""",
 )
 sql_query(
     "conditions_match",
     """SELECT query_id, entity_id FROM (SELECT DISTINCT query_id, query_class, cond_prop, cond_op, cond_value, conditions FROM (SELECT a.*, count(*) OVER (PARTITION BY query_id) AS conditions FROM asked a) w) q
     JOIN present ON property_id = cond_prop AND (query_class IS NULL OR entity_class = query_class) AND (cond_op = 'exists' OR (cond_op = 'eq' AND value = cond_value) OR (cond_op = 'ne' AND value <> cond_value))
-    GROUP BY query_id, entity_id, conditions HAVING count(*) = conditions""",
+    GROUP BY query_id, entity_id, conditions HAVING count(*) = conditions
+    UNION ALL SELECT query_id, entity_id FROM asked JOIN entities ON query_class IS NULL OR entity_class = query_class WHERE cond_prop IS NULL""",
     """SELECT 'q1' AS query_id, a.entity_id FROM present a JOIN present b ON b.entity_id = a.entity_id WHERE a.entity_class = 'order' AND a.property_id = 'status' AND a.value = 'F' AND b.property_id = 'ship_date'
     UNION ALL SELECT 'q2', entity_id FROM present WHERE entity_class = 'order' AND property_id = 'status' AND value <> 'F'
     UNION ALL SELECT 'q3', a.entity_id FROM present a JOIN present b ON b.entity_id = a.entity_id WHERE a.entity_class = 'customer' AND a.property_id = 'segment' AND b.property_id = 'nation' AND b.value = '3'
-    UNION ALL SELECT 'q4', entity_id FROM present WHERE property_id = 'name'""",
+    UNION ALL SELECT 'q4', entity_id FROM present WHERE property_id = 'name'
+    UNION ALL SELECT 'q5', entity_id FROM entities WHERE entity_class = 'customer'""",
 )

@@ -37,6 +37,12 @@ def test_listing_with_titles_links_and_labels(spark):
     assert [r.labels for r in labels] == [["record title", "record link", "Address"]]
 
 
+def test_a_menu_is_no_listing(spark):
+    card = "<div class='card'><b>t</b><i>u</i><u>v</u></div>"
+    page = "<ul><li class=n>one</li><li class=n>two</li><li class=n>three</li></ul>" + card * 3
+    assert listed(spark, page) == [(0, n, "", "", "t", "u", "v") for n in (1, 2, 3)]
+
+
 def test_members_inside_members_and_short_members(spark):
     # the inner block is no record of its own, so two are left and the group is no listing
     nested = card(1, card(9)) + card(2)

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from lakewright.api import Lake
-from lakewright.functions.documents import csv_rows, html_table_rows, json_bounds, repeated_blocks, select_records, zip_csv_rows
+from lakewright.functions.documents import csv_rows, html_table_rows, json_bounds, select_records, zip_csv_rows
 from lakewright.plans.dialect import expand
 from lakewright.sources.lake import object_path, valid_key
 
@@ -71,9 +71,6 @@ def test_sibling_arrays_cross_and_shallowest_records_win():
 def test_tables_and_blocks():
     assert list(csv_rows("﻿a;b\n;\n1;2\n")) == [("csv", 1, ["a", "b"]), ("csv", 3, ["1", "2"])]
     assert html_table_rows("<table><tr><th>a<td>b</td></tr></table>")[0][0] == "html-table-1"
-    card = "<div class='card'><b>t</b><i>u</i><u>v</u></div>"
-    page = "<ul><li class=n>one</li><li class=n>two</li><li class=n>three</li></ul>" + card * 3
-    assert [r[0] for r in repeated_blocks(page)] == ["div.card"] * 3
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
         z.writestr("a.csv", "x,y\n1,2\n")
