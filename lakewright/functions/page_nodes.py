@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakewright.plans.registry import query
+from lakewright.plans.written import written
 
 #: Elements that have no end, and those whose text nobody reads.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -103,6 +104,7 @@ def nodes(pages: DataFrame) -> DataFrame:
     without the attribute; classed numbers the elements that have it; texts are numbered through the page.  Texts hold single
     spaces; white space alone is none, nor is what scripts, styles, templates and ruby notes hold.  A null page has no nodes.  A page_id
     names one page: rows that share one must be told apart first.
+    What follows reads nodes several times: write them once, or every reading parses the pages anew.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 
@@ -261,7 +263,7 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cards of every customer's page that lists three orders or more."""
-    return listings(nodes(order_pages(spark, sf_dir))).withColumn("fields", F.array_join("fields", "|"))
+    return listings(written(nodes(order_pages(spark, sf_dir)))).withColumn("fields", F.array_join("fields", "|"))
 
 
 @query(
@@ -271,12 +273,12 @@ def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def picked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links in the lists of every page's menu, by address and text."""
-    found = selected(nodes(spark.read.parquet(f"{sf_dir}/pages.parquet")), "nav li > a[href]")
+    found = selected(written(nodes(spark.read.parquet(f"{sf_dir}/pages.parquet"))), "nav li > a[href]")
     return found.groupBy("page_id", F.col("attrs")["href"].alias("href"), "text").agg(F.count("*").alias("n"))
 
 
 @query("html_repeated_blocks")
 def html_repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing of every page that has one, with its labels."""
-    records = listings(nodes(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    records = written(listings(written(nodes(spark.read.parquet(f"{sf_dir}/pages.parquet")))))
     return records.join(listing_labels(records), "page_id")
