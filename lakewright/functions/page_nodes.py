@@ -108,13 +108,20 @@ def nodes(pages: DataFrame) -> DataFrame:
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 
+    def made(keys, owners, rows):
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(owners, pa.int64())), *(pa.array([r.get(n) for r in rows], t) for n, t in _FIELDS)], ["page_id", *(n for n, _ in _FIELDS)])
+
     def run(batches):
         for batch in batches:
-            for i in range(len(batch)):
-                rows = _Reader().read(batch.column(1)[i].as_py())
-                if rows:
-                    key = batch.column(0).take(pa.array([i] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([key, *(pa.array([r.get(n) for r in rows], t) for n, t in _FIELDS)], ["page_id", *(n for n, _ in _FIELDS)])
+            owners, rows = [], []
+            for i, html in enumerate(batch.column(1)):
+                page = _Reader().read(html.as_py())
+                owners += [i] * len(page)
+                rows += page
+                if len(rows) >= 20_000:
+                    yield made(batch.column(0), owners, rows)
+                    owners, rows = [], []
+            yield made(batch.column(0), owners, rows)
 
     return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, {NODES}")
 
