@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,18 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str
     return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> Iterator[None]:
+    """Jobs inside send Python about `limit` bytes in an Arrow batch at most: a batch of texts is held by Spark and by the worker, twice while it is read."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lakewright.llm.common import materialise
 from lakewright.llm.text import ALNUM, pieces
+from lakewright.llm.worker import releasing
 
 WINDOW = 10
 SAMPLE = 8
@@ -229,6 +230,7 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def _searcher(sent, text: int, width: int):
+    @releasing
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 2000):

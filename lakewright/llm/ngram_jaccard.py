@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from lakewright.llm.common import connected_components, join_hot, materialise, small
 from lakewright.llm.text import NON_SPACE, gram_hashes, mix, pieces
+from lakewright.llm.worker import releasing
 
 SKETCH_WORDS = 16
 #: Members of a group in one block, and pairs of one first document in one part.
@@ -98,6 +99,7 @@ def _identity(items: np.ndarray) -> bytes:
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, size, identity, sketch) of every row; identity is a 128-bit hash of the set."""
 
+    @releasing
     def run(batches):
         for batch in batches:
             sizes, ids, sketches = [], [], []
@@ -113,6 +115,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
 def _key_rows(docs: DataFrame, n: int, limit: tuple[int, int]) -> DataFrame:
     """(key, doc_id); a set that the same batch has had already is left out, as copies are linked by identity."""
 
+    @releasing
     def run(batches):
         for batch in batches:
             ids, seen = batch.column(0).to_numpy(zero_copy_only=False), set()
@@ -146,6 +149,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: tuple[int, int])
     send = parted.select("a", "part", F.col("b").alias("doc_id")).union(parted.select("a", "part", F.col("a").alias("doc_id")).distinct())
     send = small(materialise(send.groupBy("doc_id").agg(F.collect_list(F.struct("a", "part")).alias("to"))), "size(to)")
 
+    @releasing
     def sets(batches):
         for batch in batches:
             for lo in range(0, len(batch), 200):
@@ -161,6 +165,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: tuple[int, int])
                             rows, size = [], 0
                 yield _batch(rows)
 
+    @releasing
     def check(batches):
         at, first = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -222,6 +227,7 @@ def _across(members: DataFrame, limit: tuple[int, int]) -> DataFrame:
                 found_b.append(np.maximum(ids[i][near], ids[j][near]))
         return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    @releasing
     def run(batches):
         rest = None
         for batch in batches:

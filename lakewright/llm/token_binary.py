@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakewright.llm.common import materialise, shared, small
+from lakewright.llm.common import materialise, shared, small, small_batches
 from lakewright.llm.text import hash_ranges, pieces
+from lakewright.llm.worker import kept, releasing
 
 CHUNK, BLOCK = 1 << 16, 1 << 14
 MAGIC = b"LWTB\x01"
@@ -149,15 +150,9 @@ class _Table:
         return _Table(hashes[order], begin[order], np.r_[a.lengths, b.lengths][order], np.r_[a.ids, b.ids])
 
 
-_encoders: dict[tuple[str, int], CachedEncoder] = {}
-
-
 def encoder_for(path: str, end_id: int) -> CachedEncoder:
     """This worker's encoder: its table of chunks serves all tasks that the worker runs."""
-    if (path, end_id) not in _encoders:
-        _encoders.clear()
-        _encoders[path, end_id] = CachedEncoder(path, end_id)
-    return _encoders[path, end_id]
+    return kept(("encoder", path, end_id), lambda: CachedEncoder(path, end_id))
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -226,6 +221,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ch
     An empty table writes no chunk.
     """
 
+    @releasing
     def run(batches):
         from pyspark import TaskContext
 
@@ -259,7 +255,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ch
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(run, _ROW)
-    rows.write.mode("overwrite").parquet(path)
+    with small_batches(docs.sparkSession):
+        rows.write.mode("overwrite").parquet(path)
 
 
 def shard_starts(rows: DataFrame) -> DataFrame:
@@ -273,9 +270,11 @@ def read_tokens(spark, path: str) -> DataFrame:
     rows = spark.read.schema(_ROW).parquet(path)
     placed = rows.join(small(materialise(shard_starts(rows))), "shard")
 
+    @releasing
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(len(batch)):  # one chunk at a time as Python objects
+                row = batch.slice(k, 1).to_pylist()[0]
                 data, at = unpack(row["payload"]).tobytes(), 0
                 done = []
                 for name, count in zip(row["doc_ids"], row["doc_lengths"], strict=True):

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from lakewright.llm.common import materialise
 from lakewright.llm.text import ALNUM, LOWER, Piece, hash_ranges, mix, pieces
+from lakewright.llm.worker import kept as kept_by_worker
+from lakewright.llm.worker import releasing
 
 #: The classifier is fitted on a bounded sample: at most SAMPLE labelled documents of either label, by hash order, and SAMPLE_BYTES of text, half for each.
 SAMPLE, SAMPLE_BYTES = 3000, 24 << 20
@@ -358,9 +360,6 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scored(docs: DataFrame, field: Field) -> DataFrame:
     """docs with score and spans.  Every row is scored alone; null and empty texts get the score of a text without toxic words.
 
@@ -373,14 +372,13 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     text = kept.index("text")
 
+    @releasing
     def run(batches):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(sent.value)
+        scorer = kept_by_worker(key, lambda: Scorer(sent.value))
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.slice(lo, 2000)
-                scores, spans = _scorers[key].run(part.column(text))
+                scores, spans = scorer.run(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(spans, pa.string())], [*kept, "score", "spans"])
 
     return docs.select(*kept).mapInArrow(run, ", ".join([*(f"`{c}` {fields[c]}" for c in kept), "score double", "spans string"]))
