@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakewright.llm.common import materialise, small
+from lakewright.llm.common import materialise, small, small_batches
 from lakewright.llm.text import ALNUM, pieces
+from lakewright.llm.worker import releasing
 
 #: Documents and bytes a document of the sample that shapes the top of the tree, its leaves' documents, and its terms.
 SAMPLE, SAMPLE_BYTES, LEAF, TREE_TERMS = 4096, 1 << 16, 32, 16_384
@@ -35,6 +36,8 @@ SAMPLE, SAMPLE_BYTES, LEAF, TREE_TERMS = 4096, 1 << 16, 32, 16_384
 SHARD, PART, PART_POSTINGS = 256, 4096, 4_000_000
 #: Rounds of swaps at one level of the bisection.
 SWAPS = 8
+#: Postings that one step of arithmetic takes at a time.
+STRIDE = 1 << 18
 #: Shards that a query visits in its first round, and the factor of further rounds.
 FIRST, MORE = 8, 8
 #: Queries that one group of a visit serves.
@@ -74,32 +77,35 @@ def _cost(degree: np.ndarray, size: np.ndarray) -> np.ndarray:
     return degree * np.log2(size / (degree + 1.0))
 
 
-def halved(doc: np.ndarray, term: np.ndarray, node: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """The side (False: first half) of every document after swaps that lower the gap cost within its node.
+def _strides(count: int) -> Iterator[slice]:
+    return (slice(lo, min(lo + STRIDE, count)) for lo in range(0, count, STRIDE))
 
-    doc and term are postings; node and the initial side are by document.
-    """
-    nodes, side = int(node.max(initial=0)) + 1, side.copy()
-    width = int(term.max(initial=0)) + 1
-    _, key = np.unique(node[doc] * width + term, return_inverse=True)
-    total = np.bincount(key)
-    key_node = np.zeros(len(total), np.int64)
-    key_node[key] = node[doc]
-    sizes = np.stack([np.bincount(node, weights=~side, minlength=nodes), np.bincount(node, weights=side, minlength=nodes)])
-    n0, n1 = np.maximum(sizes[:, key_node], 1)
-    group = node * 2
+
+def _grouped(of: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their groups, and where each group begins (one more at the end)."""
+    return np.argsort(of.astype(np.int16) if groups < 1 << 15 else of, kind="stable"), np.r_[0, np.cumsum(np.bincount(of, minlength=groups))]
+
+
+def _swapped(doc: np.ndarray, term: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The side of every document of one node; its arrays by posting have 32 bits, all others go by term, by document or by stride."""
+    degree = np.bincount(term)
+    key = (np.cumsum(degree > 0, dtype=np.int32) - 1)[term]
+    total = degree[degree > 0]
+    n0, n1 = max(int((~side).sum()), 1), max(int(side.sum()), 1)
+    side = side.copy()
     for _ in range(SWAPS):
-        right = np.bincount(key, weights=side[doc], minlength=len(total))
+        right, gain = np.zeros(len(total), np.int64), np.zeros(len(side))
+        for s in _strides(len(doc)):
+            right += np.bincount(key[s][side[doc[s]]], minlength=len(total))
         left = total - right
         now = _cost(left, n0) + _cost(right, n1)
         to_right = now - _cost(np.maximum(left - 1, 0), n0) - _cost(right + 1, n1)
         to_left = now - _cost(left + 1, n0) - _cost(np.maximum(right - 1, 0), n1)
-        gain = np.bincount(doc, weights=np.where(side[doc], to_left[key], to_right[key]), minlength=len(node))
-        order = np.lexsort((-gain, group + side))
-        begin = np.searchsorted((group + side)[order], np.arange(2 * nodes + 1))
-        pairs = np.minimum(np.diff(begin)[::2], np.diff(begin)[1::2])
-        rank = np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-        a, b = order[np.repeat(begin[:-1:2], pairs) + rank], order[np.repeat(begin[1::2], pairs) + rank]
+        for s in _strides(len(doc)):
+            gain += np.bincount(doc[s], weights=np.where(side[doc[s]], to_left[key[s]], to_right[key[s]]), minlength=len(side))
+        a, b = np.flatnonzero(~side), np.flatnonzero(side)
+        pairs = min(len(a), len(b))
+        a, b = (x[np.argsort(-gain[x], kind="stable")][:pairs] for x in (a, b))
         swap = gain[a] + gain[b] > 1e-9
         if not swap.any():
             break
@@ -107,11 +113,29 @@ def halved(doc: np.ndarray, term: np.ndarray, node: np.ndarray, side: np.ndarray
     return side
 
 
+def halved(doc: np.ndarray, term: np.ndarray, node: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The side (False: first half) of every document after swaps that lower the gap cost within its node.
+
+    doc and term are postings; node and the initial side are by document.  Nodes are worked on one after the other.
+    """
+    nodes, side = int(node.max(initial=0)) + 1, side.copy()
+    if nodes == 1:
+        return _swapped(doc, term, side)
+    postings, begin = _grouped(node.astype(np.int32)[doc], nodes)
+    documents, first = _grouped(node, nodes)
+    own = np.empty(len(node), np.int32)
+    own[documents] = np.arange(len(node)) - np.repeat(first[:-1], np.diff(first))
+    for v in range(nodes):
+        mine, held = documents[first[v] : first[v + 1]], postings[begin[v] : begin[v + 1]]
+        side[mine] = _swapped(own[doc[held]], term[held], side[mine])
+    return side
+
+
 def bisected(doc: np.ndarray, term: np.ndarray, documents: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, shard of each place): documents reordered by recursive graph bisection, cut into shards of at most stop."""
     shared = np.bincount(term) > 1 if len(term) else np.zeros(0, bool)
     keep = shared[term]
-    doc, term = doc[keep], term[keep]
+    doc, term = doc[keep].astype(np.int32, copy=False), term[keep].astype(np.int32, copy=False)
     order, node = np.arange(documents), np.zeros(documents, np.int64)
     while documents and np.bincount(node).max() > stop:
         place = np.empty(documents, np.int64)
@@ -163,6 +187,14 @@ def _split_terms(data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _blobs(column: pa.Array, whole: bool = False) -> list[memoryview]:
+    """The values of a binary column without nulls, or all of them in one, as views of its buffer."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1 + column.offset)[column.offset :]
+    marks = offsets[[0, -1]] if whole else offsets
+    data = memoryview(column.buffers()[2] or b"")
+    return [data[lo:hi] for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
+
+
 def _fitted(texts: pa.Array) -> Tree:
     """The tree of a sample of texts."""
     postings = [p for p in tokenised(texts)]
@@ -210,6 +242,7 @@ def sample_tree(docs: DataFrame) -> bytes:
     total = brief.count()
     chosen = brief.select("text").sample(min(1.0, SAMPLE / max(total, 1)), 7) if total > SAMPLE else brief.select("text")
 
+    @releasing
     def run(batches):
         texts = [b.column(0) for b in batches]
         tree = _fitted(pa.chunked_array(texts, pa.string()).combine_chunks() if texts else pa.array([], pa.string()))
@@ -233,6 +266,7 @@ _ROWS = "shard long, term string, df long, top long, places binary, impacts bina
 def _routed(docs: DataFrame, tree: bytes) -> DataFrame:
     """(leaf, n, postings) of every document with a term."""
 
+    @releasing
     def run(batches):
         model = Tree.loaded(tree)
         for batch in batches:
@@ -247,6 +281,7 @@ def _routed(docs: DataFrame, tree: bytes) -> DataFrame:
 def _dealt(docs: DataFrame, tree: bytes, parts: dict[int, int]) -> DataFrame:
     """Every document with a term, its leaf and part, and its terms; documents of a leaf go round its parts."""
 
+    @releasing
     def run(batches):
         model, turn = Tree.loaded(tree), dict.fromkeys(parts, 0)
         for batch in batches:
@@ -262,44 +297,48 @@ def _dealt(docs: DataFrame, tree: bytes, parts: dict[int, int]) -> DataFrame:
                 offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
                 first = np.searchsorted(p.doc, np.arange(len(p.lengths) + 1))
                 terms = pa.Array.from_buffers(pa.large_binary(), len(p.lengths), [None, pa.py_buffer(offsets[first]), words.buffers()[2]])
-                counts = pa.Array.from_buffers(pa.large_binary(), len(p.lengths), [None, pa.py_buffer(first * 8), pa.py_buffer(p.count.astype(np.int64))])
+                counts = pa.Array.from_buffers(pa.large_binary(), len(p.lengths), [None, pa.py_buffer(first * 4), pa.py_buffer(p.count.astype(np.int32))])
                 rows = pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(sub), ids, pa.array(p.lengths.astype(np.int64)), terms.cast(pa.binary()), counts.cast(pa.binary())], ["leaf", "sub", "doc_id", "n", "terms", "counts"])
                 yield rows.filter(pa.array(p.lengths > 0))
 
     return docs.select("doc_id", "text").mapInArrow(run, _DEALT)
 
 
-def _shards(part: pa.Table, number: int, documents: int, words: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Index rows of one part: its documents bisected and cut into shards of at most size."""
-    lengths = part["n"].to_numpy()
-    data = np.frombuffer(b"".join(x.as_py() for x in part["terms"]), np.uint8)
-    counts = [np.frombuffer(x.as_py(), np.int64) for x in part["counts"]]
-    doc = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-    found = _split_terms(data).dictionary_encode()
-    term, tf, width = found.indices.to_numpy().astype(np.int64), np.concatenate(counts), len(found.dictionary)
+def _shards(held: list[pa.RecordBatch], number: int, documents: int, words: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Index rows of one part: its documents bisected and cut into shards of at most size.  Takes the batches out of held."""
+    lengths, ids = (np.concatenate([b["n"].to_numpy() for b in held]), pa.chunked_array([b["doc_id"] for b in held]).combine_chunks())
+    counts = [np.frombuffer(x, np.int32) for b in held for x in _blobs(b["counts"])]
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), [len(c) for c in counts])
+    tf = np.concatenate(counts)
+    found = pa.chunked_array([_split_terms(np.frombuffer(x, np.uint8)) for b in held for x in _blobs(b["terms"], whole=True)]).dictionary_encode()
+    held.clear()
+    del counts
+    names, term = pc.binary_slice(found.chunk(0).dictionary.cast(pa.binary()), 0, -1), np.concatenate([c.indices.to_numpy() for c in found.chunks])
+    del found
     order, shard = bisected(doc, term, len(lengths), size)
     place, of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     first = np.searchsorted(shard, np.arange(int(shard[-1]) + 1))
     place[order], of[order] = np.arange(len(order)) - first[shard], shard
     m = 75 + 25 * lengths * documents // words
-    impact = SCALE * tf // (1000 * tf + 12 * m[doc])
-    key = of[doc] * width + term
-    rank = np.lexsort((place[doc], key))
-    key, places, impact = key[rank], place[doc][rank].astype(np.uint16), impact[rank]
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    df, top = np.diff(np.r_[begin, len(key)]), np.maximum.reduceat(impact, begin)
-    names = pc.binary_slice(found.dictionary.cast(pa.binary()), 0, -1)
-    ids, blobs = part["doc_id"].combine_chunks(), np.r_[begin, len(key)]
-    for lo in range(0, len(begin), 50_000):
-        hi = min(lo + 50_000, len(begin))
-        cut = blobs[lo : hi + 1]
-        packed = [
-            pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((cut - cut[0]) * bytes_each), pa.py_buffer(np.ascontiguousarray(values[cut[0] : cut[-1]]))]).cast(pa.binary())
-            for values, bytes_each in ((places, 2), (impact.astype(np.int32), 4))
-        ]
-        text = names.take(pa.array(key[begin[lo:hi]] % width)).cast(pa.string())
-        empty = pa.nulls(hi - lo, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array((number << 16) + key[begin[lo:hi]] // width), text, pa.array(df[lo:hi].astype(np.int64)), pa.array(top[lo:hi].astype(np.int64)), *packed, empty], ["shard", "term", "df", "top", "places", "impacts", "ids"])
+    postings, start = _grouped(of.astype(np.int32)[doc], len(first))
+    for v in range(len(first)):
+        for_shard = postings[start[v] : start[v + 1]]
+        mine = for_shard[np.lexsort((place[doc[for_shard]], term[for_shard]))]
+        key, own, times = term[mine], doc[mine], tf[mine].astype(np.int64)
+        places, impact = place[own].astype(np.uint16), SCALE * times // (1000 * times + 12 * m[own])
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        blobs = np.r_[begin, len(key)]
+        df, top = np.diff(blobs), np.maximum.reduceat(impact, begin)
+        for lo in range(0, len(begin), 50_000):
+            hi = min(lo + 50_000, len(begin))
+            cut = blobs[lo : hi + 1]
+            packed = [
+                pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((cut - cut[0]) * bytes_each), pa.py_buffer(np.ascontiguousarray(values[cut[0] : cut[-1]]))]).cast(pa.binary())
+                for values, bytes_each in ((places, 2), (impact.astype(np.int32), 4))
+            ]
+            text = names.take(pa.array(key[begin[lo:hi]])).cast(pa.string())
+            empty = pa.nulls(hi - lo, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, (number << 16) + v)), text, pa.array(df[lo:hi].astype(np.int64)), pa.array(top[lo:hi].astype(np.int64)), *packed, empty], ["shard", "term", "df", "top", "places", "impacts", "ids"])
     ends = np.r_[first[1:], len(order)]
     lists = pa.ListArray.from_arrays(pa.array(np.r_[first, ends[-1:]].astype(np.int32)), ids.take(pa.array(order)))
     nothing = [pa.nulls(len(first), t) for t in (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
@@ -308,6 +347,11 @@ def _shards(part: pa.Table, number: int, documents: int, words: int, size: int)
 
 def built(docs: DataFrame) -> Index:
     """The index of docs(doc_id, text)."""
+    with small_batches(docs.sparkSession):
+        return _built(docs)
+
+
+def _built(docs: DataFrame) -> Index:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tree = sample_tree(docs)
     loads = _routed(docs, tree).groupBy("leaf").agg(F.count("*").alias("documents"), F.sum("n").alias("words"), F.sum("postings").alias("postings")).collect()  # a row a leaf
@@ -317,6 +361,7 @@ def built(docs: DataFrame) -> Index:
     for leaf in sorted(parts):
         numbers[leaf], before = before, before + parts[leaf]
 
+    @releasing
     def run(batches):
         held, at = [], None
         for batch in batches:
@@ -326,12 +371,11 @@ def built(docs: DataFrame) -> Index:
                 if hi > lo:
                     own = (int(keys[0, lo]), int(keys[1, lo]))
                     if held and own != at:
-                        yield from _shards(pa.Table.from_batches(held), numbers[at[0]] + at[1], documents, words, size)
-                        held = []
+                        yield from _shards(held, numbers[at[0]] + at[1], documents, words, size)
                     at = own
                     held.append(batch.slice(lo, hi - lo))
         if held:
-            yield from _shards(pa.Table.from_batches(held), numbers[at[0]] + at[1], documents, words, size)
+            yield from _shards(held, numbers[at[0]] + at[1], documents, words, size)
 
     dealt = _dealt(docs, tree, parts).repartition("leaf", "sub").sortWithinPartitions("leaf", "sub", "doc_id")
     rows = materialise(dealt.mapInArrow(run, _ROWS))
@@ -341,6 +385,7 @@ def built(docs: DataFrame) -> Index:
 def query_terms(items: DataFrame) -> DataFrame:
     """(query, item_id, term, times): the terms of every query with their repeats; query names an item row by its id and text."""
 
+    @releasing
     def run(batches):
         for batch in batches:
             at = 0
@@ -365,6 +410,7 @@ def _best_of_shards(needed: DataFrame, members: DataFrame, k: int) -> DataFrame:
     body = needed.select("shard", "block", F.lit(1).alias("kind"), F.lit(None).cast("array<long>").alias("ids"), "to", "places", "impacts")
     ready = heads.union(body).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
 
+    @releasing
     def run(batches):
         ids, rows, scores = [], {}, np.zeros((0, 0), np.int64)
 
@@ -425,7 +471,8 @@ def searched(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataF
         # few shards are visited in a round: the names of what is needed are small against the entries that they pick
         needed = index.entries.select("shard", "term", "places", "impacts").join(small(materialise(to), "size(to)"), ["shard", "term"])
         fresh = _best_of_shards(needed, index.members, k)
-        found = materialise(_top(fresh if found is None else found.select("query", "doc_id", "score").union(fresh), k))
+        with small_batches(queries.sparkSession):
+            found = materialise(_top(fresh if found is None else found.select("query", "doc_id", "score").union(fresh), k))
         visits = visit if visits is None else visits.union(visit)
         last = found.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("last"))
         left = materialise(left.join(visit, ["query", "shard"], "left_anti").join(last, "query", "left").where("bound >= coalesce(last, 0)").select("query", "shard", "bound"))
