@@ -36,10 +36,12 @@ def _tables(docs: DataFrame, parse) -> DataFrame:
 
 
 def csv_rows(text: str):
-    """Dialect sniffed from the first 4,096 characters; empty rows are dropped, numbers are those of the source."""
+    """Dialect sniffed from the first 4,096 characters, no letter or digit parts cells; empty rows are dropped, numbers are those of the source."""
     text = (text or "").removeprefix("\ufeff")
     try:
         dialect = csv.Sniffer().sniff(text[:4096])
+        if dialect.delimiter.isalnum():  # a column of like values
+            dialect = csv.Sniffer().sniff(text[:4096], ",;\t|")
     except csv.Error:
         dialect = csv.excel
     for number, row in enumerate(csv.reader(io.StringIO(text), dialect), 1):
