@@ -147,3 +147,14 @@ def test_sessions_are_replaced_whole(spark, tmp_path):
     whole = (tmp_path / "x" / "s1.jsonl").read_text()
     assert whole.startswith(torn) and not torn.endswith("\n") and whole.split("\n")[:-1] == [f"line {i}" for i in range(1, 50, 3)]
     assert sorted(os.listdir(tmp_path / "x")) == ["s0.jsonl", "s1.jsonl", "s2.jsonl"]
+
+
+def test_small_files_share_a_task(tmp_path):
+    ends = {f"f{i:04d}": 10 for i in range(3000)} | {"g": 250}
+    reader = tail._Lines({"path": str(tmp_path), "split": "100"})
+    tasks = reader.ranges({"f0000": 4}, ends)
+    # the start of the first file is read; ten files of ten bytes are a task, and the large file is cut
+    assert len(tasks) < 310 and all(sum(r.hi - r.lo for r in t.ranges) <= 100 for t in tasks)
+    read = [r for t in tasks for r in t.ranges]
+    assert {(r.file, r.lo, r.hi) for r in read} == {("f0000", 4, 10)} | {(f"f{i:04d}", 0, 10) for i in range(1, 3000)} | {("g", 0, 100), ("g", 100, 200), ("g", 200, 250)} and len(read) == 3003
+    assert max(len(t.ranges) for t in tail._Lines({"path": str(tmp_path)}).ranges({}, ends)) == tail.FILES
