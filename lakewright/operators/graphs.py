@@ -5,9 +5,20 @@ from lakewright.plans.dialect import relation, sql_query
 relation("edges_all", "SELECT relation_id, least(source, target) AS a, greatest(source, target) AS b, count(*) AS n FROM gold_links WHERE source <> target GROUP BY relation_id, least(source, target), greatest(source, target)")
 relation("neighbours", "SELECT a AS x, b AS y FROM edges_all UNION SELECT b, a FROM edges_all")
 
+# one hop leads from entities to the values they are linked by, and on to all that hold these at the far end
+relation("first_hubs", "SELECT DISTINCT far_class, far_prop, value AS hub FROM faced WHERE entity_id = 'customer:1'")
+relation("first_stop", "SELECT entity_id FROM end_values JOIN first_hubs ON entity_class = far_class AND property_id = far_prop AND value = hub")
+relation("second_hubs", "SELECT DISTINCT far_class, far_prop, value AS hub FROM faced JOIN (SELECT entity_id AS stop FROM first_stop) s ON stop = entity_id")
+relation("second_stop", "SELECT entity_id FROM end_values JOIN second_hubs ON entity_class = far_class AND property_id = far_prop AND value = hub")
+
 sql_query("graph_edges", "SELECT relation_id, a, b, n FROM edges_all WHERE relation_id = 'placed_by'")
 sql_query("graph_degree", "SELECT x AS node, count(*) AS degree FROM neighbours GROUP BY x")
-sql_query("graph_bfs", "SELECT node, min(d) AS distance FROM (SELECT 'customer:1' AS node, 0 AS d UNION ALL SELECT y, 1 FROM neighbours WHERE x = 'customer:1' UNION ALL SELECT q.y, 2 FROM neighbours p JOIN neighbours q ON q.x = p.y WHERE p.x = 'customer:1') r GROUP BY node")
+sql_query(
+    "graph_bfs",
+    "SELECT node, min(d) AS distance FROM (SELECT 'customer:1' AS node, 0 AS d UNION ALL SELECT entity_id, 1 FROM first_stop UNION ALL SELECT entity_id, 2 FROM second_stop) r GROUP BY node",
+    "SELECT node, min(d) AS distance FROM (SELECT 'customer:1' AS node, 0 AS d UNION ALL SELECT y, 1 FROM neighbours WHERE x = 'customer:1' UNION ALL SELECT q.y, 2 FROM neighbours p JOIN neighbours q ON q.x = p.y WHERE p.x = 'customer:1') r GROUP BY node",
+    shared=("end_values",),
+)
 sql_query("graph_context", "SELECT DISTINCT y AS node FROM neighbours WHERE x LIKE 'customer:1%' AND y NOT LIKE 'customer:1%'")
 sql_query("graph_node_cap", "SELECT node, place FROM (SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS place FROM (SELECT x AS node, count(*) AS degree FROM neighbours GROUP BY x) g) r WHERE place <= 40")
 # a hub of a relation: all entities that hold one of its values; drawn only where it replaces more lines than it draws
