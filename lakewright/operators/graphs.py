@@ -12,7 +12,12 @@ relation("second_hubs", "SELECT DISTINCT far_class, far_prop, value AS hub FROM
 relation("second_stop", "SELECT entity_id FROM end_values JOIN second_hubs ON entity_class = far_class AND property_id = far_prop AND value = hub")
 
 sql_query("graph_edges", "SELECT relation_id, a, b, n FROM edges_all WHERE relation_id = 'placed_by'")
-sql_query("graph_degree", "SELECT x AS node, count(*) AS degree FROM neighbours GROUP BY x")
+sql_query(
+    "graph_degree",
+    "SELECT node, degree FROM degrees",
+    "SELECT x AS node, count(*) AS degree FROM neighbours GROUP BY x",
+    shared=("end_values",),
+)
 sql_query(
     "graph_bfs",
     "SELECT node, min(d) AS distance FROM (SELECT 'customer:1' AS node, 0 AS d UNION ALL SELECT entity_id, 1 FROM first_stop UNION ALL SELECT entity_id, 2 FROM second_stop) r GROUP BY node",
