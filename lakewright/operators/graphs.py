@@ -25,7 +25,12 @@ sql_query(
     shared=("end_values",),
 )
 sql_query("graph_context", "SELECT DISTINCT y AS node FROM neighbours WHERE x LIKE 'customer:1%' AND y NOT LIKE 'customer:1%'")
-sql_query("graph_node_cap", "SELECT node, place FROM (SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS place FROM (SELECT x AS node, count(*) AS degree FROM neighbours GROUP BY x) g) r WHERE place <= 40")
+sql_query(
+    "graph_node_cap",
+    "SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS place FROM (SELECT node, degree FROM degrees ORDER BY degree DESC, node LIMIT 40) g",
+    "SELECT node, place FROM (SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS place FROM (SELECT x AS node, count(*) AS degree FROM neighbours GROUP BY x) g) r WHERE place <= 40",
+    shared=("end_values",),
+)
 # a hub of a relation: all entities that hold one of its values; drawn only where it replaces more lines than it draws
 sql_query(
     "value_clusters",

@@ -75,7 +75,7 @@ def agrees(spark, duck, odd, name):
     return frame
 
 
-@pytest.mark.parametrize("name", ["graph_bfs", "graph_degree"])
+@pytest.mark.parametrize("name", ["graph_bfs", "graph_degree", "graph_node_cap"])
 def test_no_pairs_are_listed(spark, duck, odd, name):
     frame = agrees(spark, duck, odd, name)
     assert rows_made(frame) < 20 * N < N * N
