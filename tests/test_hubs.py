@@ -80,6 +80,17 @@ def test_no_pairs_are_listed(spark, duck, odd, name):
     assert rows_made(frame) < 20 * N < N * N
 
 
+@pytest.mark.parametrize("name", ["dod_gaps"])
+def test_criteria_come_from_one_row(spark, duck, odd, name):
+    assert rows_made(agrees(spark, duck, odd, name)) < 40
+
+
+def test_all_criteria_agree(spark, duck, odd):
+    key = lambda r: (r[0], r[1], r[2], float(r[3]), round(float(r[4]), 9))
+    got = sorted(key(r) for r in dialect.run_sql(spark, odd, "SELECT criterion_id, query, operator, target, actual FROM profile_results").collect())
+    assert got == sorted(key(r) for r in duck.sql(dialect.render("SELECT criterion_id, query, operator, target, actual FROM dod_results", "duckdb")).fetchall()) and len({r[4] for r in got}) > 5
+
+
 def test_no_pair_is_there_twice(spark):
     """What hubs count by: END_PROPERTIES are the properties of the relations, and far ends of a class are of other classes."""
     specs = dialect.run_sql(spark, None, "SELECT * FROM relation_specs").collect()
