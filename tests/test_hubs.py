@@ -91,6 +91,13 @@ def test_all_criteria_agree(spark, duck, odd):
     assert got == sorted(key(r) for r in duck.sql(dialect.render("SELECT criterion_id, query, operator, target, actual FROM dod_results", "duckdb")).fetchall()) and len({r[4] for r in got}) > 5
 
 
+@pytest.mark.parametrize("wide", [hubs.WIDE, 8])
+def test_pairs_are_not_made_distinct(spark, duck, odd, wide, monkeypatch):
+    monkeypatch.setitem(dialect._relations, "wide_hubs", dialect._relations["wide_hubs"].replace(f"> {hubs.WIDE}", f"> {wide}"))
+    frame = agrees(spark, duck, odd, "relation_links")
+    assert rows_made(frame, "Aggregate") < 20 * N < rows_made(frame)
+
+
 def test_no_pair_is_there_twice(spark):
     """What hubs count by: END_PROPERTIES are the properties of the relations, and far ends of a class are of other classes."""
     specs = dialect.run_sql(spark, None, "SELECT * FROM relation_specs").collect()
