@@ -24,7 +24,13 @@ sql_query(
     "SELECT node, min(d) AS distance FROM (SELECT 'customer:1' AS node, 0 AS d UNION ALL SELECT y, 1 FROM neighbours WHERE x = 'customer:1' UNION ALL SELECT q.y, 2 FROM neighbours p JOIN neighbours q ON q.x = p.y WHERE p.x = 'customer:1') r GROUP BY node",
     shared=("end_values",),
 )
-sql_query("graph_context", "SELECT DISTINCT y AS node FROM neighbours WHERE x LIKE 'customer:1%' AND y NOT LIKE 'customer:1%'")
+sql_query(
+    "graph_context",
+    """SELECT DISTINCT entity_id AS node FROM end_values JOIN (SELECT DISTINCT far_class, far_prop, value AS hub FROM faced WHERE entity_id LIKE 'customer:1%') h
+    ON entity_class = far_class AND property_id = far_prop AND hub = value WHERE entity_id NOT LIKE 'customer:1%'""",
+    "SELECT DISTINCT y AS node FROM neighbours WHERE x LIKE 'customer:1%' AND y NOT LIKE 'customer:1%'",
+    shared=("end_values",),
+)
 sql_query(
     "graph_node_cap",
     "SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS place FROM (SELECT node, degree FROM degrees ORDER BY degree DESC, node LIMIT 40) g",
