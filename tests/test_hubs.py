@@ -80,7 +80,7 @@ def test_no_pairs_are_listed(spark, duck, odd, name):
     assert rows_made(frame) < 20 * N < N * N
 
 
-@pytest.mark.parametrize("name", ["dod_gaps", "dod_compare"])
+@pytest.mark.parametrize("name", ["dod_gaps", "dod_compare", "dod_coverage"])
 def test_criteria_come_from_one_row(spark, duck, odd, name):
     assert rows_made(agrees(spark, duck, odd, name)) < 40
 
