@@ -98,6 +98,10 @@ def test_pairs_are_not_made_distinct(spark, duck, odd, wide, monkeypatch):
     assert rows_made(frame, "Aggregate") < 20 * N < rows_made(frame)
 
 
+def test_fields_are_chosen_without_windows(spark, duck, odd):
+    assert "Window" not in agrees(spark, duck, odd, "entity_page")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_pair_is_there_twice(spark):
     """What hubs count by: END_PROPERTIES are the properties of the relations, and far ends of a class are of other classes."""
     specs = dialect.run_sql(spark, None, "SELECT * FROM relation_specs").collect()
